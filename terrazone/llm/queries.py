@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazone.llm import decontam, fingerprints, langid, quality
+from terrazone.llm import decontam, fingerprints, langid, mixing, quality, sharding
 from terrazone.llm.store import table
 
 
@@ -18,6 +18,36 @@ def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.uses(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+    return found.withColumn("weight", F.round("weight", 9))
+
+
+_H60 = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+_EDGES = """
+g{k} AS (SELECT (SELECT lo FROM a{j}) + (SELECT width FROM a{j}) * i / 100 AS a FROM range(101) t(i)),
+a{k} AS (SELECT coalesce(max(a), 0) AS lo, (SELECT width FROM a{j}) / 100 AS width FROM (
+  SELECT a, sum(pow(share, a)) AS z, sum(pow(share, a) * ln(share)) AS y, count(*) AS n FROM g{k}, shares WHERE share > 0 GROUP BY a) WHERE ln(z) - a * y / z >= 0.95 * ln(n))"""
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce('=' || source, '-') AS src, CAST(doc_id AS VARCHAR) AS id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+shares AS (SELECT src, sum(n_tokens) AS tokens, count(*) AS n, sum(n_tokens) / (SELECT CAST(sum(n_tokens) AS DOUBLE) FROM d) AS share FROM d GROUP BY src),
+a0 AS (SELECT CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS width),{",".join(_EDGES.format(k=k, j=k - 1) for k in range(1, 7))},
+w AS (SELECT *, floor(weight * (SELECT sum(n_tokens) FROM d) + 1e-6) AS quota FROM (SELECT *, pow(share, least(lo, 1)) / sum(pow(share, least(lo, 1))) OVER () AS weight FROM shares, a6)),
+e AS (SELECT *, floor(quota / tokens) AS epochs, quota - floor(quota / tokens) * tokens AS rest, CAST(ceil(n / 1000.0) AS BIGINT) AS blocks FROM w),
+h AS (SELECT d.*, e.weight, e.epochs, e.rest, {_H60.format("'block1|' || id")} % blocks AS b, {_H60.format("'inner1|' || id")} AS v FROM d JOIN e USING (src)),
+u AS (SELECT *, {_H60.format("'order1|' || src || '|' || CAST(b AS VARCHAR)")} AS u FROM h),
+s AS (SELECT src, u, sum(n_tokens) AS s, any_value(rest) AS rest FROM u GROUP BY src, u),
+c AS (SELECT *, coalesce(sum(s) OVER (PARTITION BY src ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+i AS (SELECT u.doc_id, u.source, u.n_tokens, u.weight, u.epochs, u.u, c.before, c.s, u.rest, sum(u.n_tokens) OVER (PARTITION BY u.src, u.u ORDER BY v) AS inner_sum FROM u JOIN c ON u.src = c.src AND u.u = c.u)
+SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, u AS block_order,
+  CAST(epochs + CASE WHEN before + s <= rest THEN 1 WHEN before <= rest AND before + inner_sum <= rest THEN 1 ELSE 0 END AS INTEGER) AS n_uses FROM i
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     digest = F.sha2(F.concat_ws(",", F.col("item_ids").cast("array<string>")), 256)
@@ -53,6 +83,8 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_quality_ranking": op4_quality_ranking,
+        "op6_histogram_shards": op6_histogram_shards,
+        "op7_temperature_mixing": op7_temperature_mixing,
         "op8_decontaminate": op8_decontaminate,
         "op9_piecewise_fingerprint": op9_piecewise_fingerprint,
         "op10_language_filters": op10_language_filters,
@@ -60,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8_SQL}
+    return {"op7_temperature_mixing": OP7_SQL, "op8_decontaminate": OP8_SQL}
