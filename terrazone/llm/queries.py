@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazone.llm import decontam, fingerprints, langid, mixing, quality, sharding
+from terrazone.llm import decontam, fingerprints, langid, minhash, mixing, quality, sharding
 from terrazone.llm.store import table
 
 
+def op3_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=4)
+
+
+OP3_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN c cx ON x = cx.doc_id JOIN c cy ON y = cy.doc_id WHERE 100 * common >= 80 * (cx.n + cy.n - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+m AS (SELECT x, min(y) AS least FROM r GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least AS component_id, d.doc_id = least AS kept
+FROM d LEFT JOIN c USING (doc_id) JOIN m ON d.doc_id = m.x
+"""
+
+
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -82,6 +99,7 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_minhash_components": op3_minhash_components,
         "op4_quality_ranking": op4_quality_ranking,
         "op6_histogram_shards": op6_histogram_shards,
         "op7_temperature_mixing": op7_temperature_mixing,
@@ -92,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_temperature_mixing": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op3_minhash_components": OP3_SQL, "op7_temperature_mixing": OP7_SQL, "op8_decontaminate": OP8_SQL}
