@@ -83,17 +83,21 @@ class Texts:
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each span of bytes."""
-        lens = ends - starts
-        wide = self.wide()
-        h = lens.astype(np.uint64) * _GOLD
-        h = mix(h ^ (wide[starts] & _LOW[np.minimum(lens, 8)]))
-        k, live = 8, np.flatnonzero(lens > 8)
-        while len(live):
-            rest = np.minimum(lens[live] - k, 8)
-            h[live] = mix((h[live] * _GOLD) ^ (wide[starts[live] + k] & _LOW[rest]))
-            k += 8
-            live = live[lens[live] > k]
-        return h
+        return spans(self.wide(), starts, ends)
+
+
+def spans(wide: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, from a view of eight bytes at each position."""
+    lens = ends - starts
+    h = lens.astype(np.uint64) * _GOLD
+    h = mix(h ^ (wide[starts] & _LOW[np.minimum(lens, 8)]))
+    k, live = 8, np.flatnonzero(lens > 8)
+    while len(live):
+        rest = np.minimum(lens[live] - k, 8)
+        h[live] = mix((h[live] * _GOLD) ^ (wide[starts[live] + k] & _LOW[rest]))
+        k += 8
+        live = live[lens[live] > k]
+    return h
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

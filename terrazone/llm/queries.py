@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazone.llm import decontam, fingerprints, langid, minhash, mixing, quality, sharding
+from terrazone.llm import decontam, fingerprints, langid, minhash, mixing, quality, sharding, store, tokens
 from terrazone.llm.store import table
 
 
+#: File name of the vocabulary of op2; the package finds its place on the machine.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.Scratch(spark, "tokens").path("ids")
+    tokens.write(table(spark, sf_dir, "documents"), path, vocabulary())
+    return tokens.read(spark, path)
+
+
 def op3_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
@@ -99,6 +115,7 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_planes": op2_token_planes,
         "op3_minhash_components": op3_minhash_components,
         "op4_quality_ranking": op4_quality_ranking,
         "op6_histogram_shards": op6_histogram_shards,
