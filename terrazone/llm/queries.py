@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazone.llm import decontam, fingerprints, langid, minhash, mixing, quality, sharding, store, tokens
+from terrazone.llm import decontam, fingerprints, langid, minhash, mixing, quality, sharding, store, suffix, tokens
 from terrazone.llm.store import table
 
 
+def op1_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, i, md5(h[2 * i + 1:2 * i + 800]) AS g FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM d WHERE n >= 400)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM s) WHERE c > 1),
+e AS (SELECT doc_id, i, sum(CASE WHEN i <= last + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS last FROM r)),
+x AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM e GROUP BY doc_id, run),
+y AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM x GROUP BY doc_id),
+z AS (SELECT x.doc_id, string_agg(h[2 * b + 1:2 * nxt], '' ORDER BY a) AS rest, min(a) AS head FROM (SELECT *, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS nxt FROM x) x JOIN d USING (doc_id) GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN rest IS NULL THEN h ELSE h[1:2 * head] || rest END)) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)
+"""
+
+
 #: File name of the vocabulary of op2; the package finds its place on the machine.
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -115,6 +133,7 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_blocks": op1_suffix_blocks,
         "op2_token_planes": op2_token_planes,
         "op3_minhash_components": op3_minhash_components,
         "op4_quality_ranking": op4_quality_ranking,
@@ -127,4 +146,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_components": OP3_SQL, "op7_temperature_mixing": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_suffix_blocks": OP1_SQL, "op3_minhash_components": OP3_SQL, "op7_temperature_mixing": OP7_SQL, "op8_decontaminate": OP8_SQL}

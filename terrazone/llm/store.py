@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,3 +59,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def as_bytes(df: DataFrame, text: str = "text", name: str = "_bytes") -> DataFrame:
     """Adds the UTF-8 bytes of a text column; null counts as empty."""
     return df.withColumn(name, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of rounds whose tables are written: it does so once their frames are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
