@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrazone.llm import decontam, fingerprints, langid, minhash, mixing, quality, sharding, store, suffix, tokens
+from terrazone.llm import decontam, fingerprints, fuzzylines, langid, minhash, mixing, quality, sharding, store, suffix, tokens
 from terrazone.llm.store import table
 
 
@@ -69,6 +69,10 @@ def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzylines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -131,17 +135,25 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_blocks": op1_suffix_blocks,
         "op2_token_planes": op2_token_planes,
         "op3_minhash_components": op3_minhash_components,
         "op4_quality_ranking": op4_quality_ranking,
+        "op5_fuzzy_lines": op5_fuzzy_lines,
         "op6_histogram_shards": op6_histogram_shards,
         "op7_temperature_mixing": op7_temperature_mixing,
         "op8_decontaminate": op8_decontaminate,
         "op9_piecewise_fingerprint": op9_piecewise_fingerprint,
         "op10_language_filters": op10_language_filters,
+        "pipeline": pipeline,
     }
 
 
