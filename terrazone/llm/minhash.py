@@ -10,12 +10,12 @@ shuffle. Keys travel as packed arrays, one row for each map task and bucket of k
 
 Candidates of a key are verified in rounds, and a pair whose ends are already connected is never verified, which
 cannot change a component:
-1. in small groups (up to ``SMALL`` nodes) all pairs, in larger ones a star around a member that differs by table;
-   each node first tries its two most frequent partners;
+1. in small groups (up to ``SMALL`` nodes) all pairs, in larger ones a star; each node first tries its two most
+   frequent partners;
 2. the other pairs of these whose ends are still apart;
-3. in larger groups that still hold several components, all pairs across them.
-So no candidate link between different texts is lost, and the pairs made are few unless many unlinked near misses
-share a key.
+3. in larger groups that still hold several components, everything outside the largest against everything, in
+   blocks of texts inside which the sets are intersected.
+So no candidate link between different texts is lost, while the rows made stay near the number of texts.
 
 Defined results: words are runs without ASCII white space, lower-cased A-Z; a text of fewer than n words is one
 shingle; null, empty and blank texts have no shingle, are linked with nothing and kept. Components take the smallest
@@ -39,7 +39,9 @@ from terrazone.llm.components import components
 WORDS = 5
 PERCENT = 80
 ATOMS, DEPTH = 12, 3
-SMALL = 8
+SMALL = 3
+#: Texts of a block of nodes outside a cluster's largest component, and of all its nodes.
+MINOR_BLOCK, MAJOR_BLOCK = 256, 512
 BUCKET_KEYS = 1_500_000
 MEMBERS = 64
 _ABSENT = -(2**63)
@@ -153,8 +155,8 @@ def _candidates(keyed: DataFrame, small: int) -> DataFrame:
                 i, j = np.triu_indices(s, 1)
                 left.append(members[:, i].ravel())
                 right.append(members[:, j].ravel())
-            else:  # a star around the member that comes first in the key's own order
-                own = kernels.mix(members.view(np.uint64) ^ key[rows][:, None]).argmin(axis=1)
+            else:  # a star around the member that comes first in an order that all keys share, so that hubs are few
+                own = kernels.mix(members.view(np.uint64)).argmin(axis=1)
                 hub = np.repeat(members[np.arange(len(rows)), own], s)
                 left.append(hub)
                 right.append(members.ravel())
@@ -212,19 +214,64 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, parts: int
     return dealt.mapInArrow(run, "hub long, node long")
 
 
-def _across(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs across the components of the groups that still hold several."""
+def _across(groups: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int, parts: int, scratch: store.Scratch) -> DataFrame:
+    """Links across the components of the groups that still hold several: one for each node and component it reaches.
+
+    Components that meet in a group form a cluster. In each, the nodes outside its largest component are set against
+    all its nodes, block by block: a text is sent once for each block that it meets, not once for each pair.
+    """
     members = groups.select(F.col("a").alias("key"), "ids").mapInArrow(_unpack, "key long, f long")
     named = members.join(labels, members.f == labels.id, "left").select("key", "f", F.coalesce("root", "f").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    held = named.join(mixed, "key")
-    # the largest component of a group may be large: the others' nodes meet everything outside their own component
-    sizes = held.groupBy("key", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
-    held = held.join(main, "key")
-    minor = held.where("root <> main").select("key", F.col("f").alias("hub"), F.col("root").alias("of"))
-    met = minor.join(held.select("key", F.col("f").alias("node"), "root", "main"), "key").where("of <> root").where("root = main or hub < node")
-    return met.select("hub", "node").distinct()
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "x")
+    held = scratch.write(named.join(mixed, "key").select("x", "root", "f").distinct(), "mixed")
+    met = components(held.select("x", "root").distinct(), "x", "root", scratch, "cc-mixed").select(F.col("id").alias("root"), F.col("root").alias("cluster"))
+    nodes = held.select("root", "f").distinct().join(met, "root", "left").select(F.coalesce("cluster", "root").alias("cluster"), "root", "f")
+    sizes = nodes.groupBy("cluster", "root").agg(F.count("*").alias("m"))
+    shape = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    shape = shape.withColumns({"rows": F.ceil((F.col("all") - F.col("most")) / MINOR_BLOCK).cast("int"), "columns": F.ceil(F.col("all") / MAJOR_BLOCK).cast("int")})
+    placed = nodes.join(shape, "cluster")
+    spread = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    row, column = F.pmod(F.xxhash64("f"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("f", F.lit(1)), F.col("columns")).cast("int")
+    minor = placed.where("root <> main").select("cluster", row.alias("r"), F.explode(spread("columns")).alias("c"), F.lit(1).alias("minor"), "root", "f")
+    major = placed.select("cluster", F.explode(spread("rows")).alias("r"), column.alias("c"), F.lit(0).alias("minor"), "root", "f")
+    dealt = minor.union(major).join(texts, "f").select("cluster", "r", "c", "minor", "root", "f", "text").repartition(parts, "cluster", "r", "c").sortWithinPartitions("cluster", "r", "c")
+
+    def judge(block: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        asked, known = [x for x in block if x[0]], [x for x in block if not x[0]]
+        if not asked or not known:
+            return
+        size, root = np.array([len(x[3]) for x in known]), np.array([x[1] for x in known])
+        shingle, owner = np.concatenate([x[3] for x in known]), np.repeat(np.arange(len(known)), size)
+        order = np.argsort(shingle, kind="stable")
+        shingle, owner = shingle[order], owner[order]
+        for _, mine, f, own in asked:
+            lo, hi = np.searchsorted(shingle, own), np.searchsorted(shingle, own, side="right")
+            both = np.bincount(owner[kernels.ragged(lo, hi - lo)], minlength=len(known))
+            good = np.flatnonzero((100 * both >= percent * (size + len(own) - both)) & (root != mine))
+            for k in np.unique(root[good], return_index=True)[1]:
+                yield f, known[good[k]][2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            data, off = kernels.flat(batch.column(6))
+            links = []
+            for lo, hi in kernels.slices(off):
+                x, first = shingles(data, off[lo : hi + 1], n)
+                for k in range(lo, hi):
+                    place = (columns[0][k], columns[1][k], columns[2][k])
+                    if place != now:
+                        links += judge(block)
+                        now, block = place, []
+                    block.append((columns[3][k], columns[4][k], columns[5][k], x[first[k - lo] : first[k - lo + 1]].copy()))
+            yield made(links)
+        yield made(list(judge(block)))
+
+    def made(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["hub", "node"])
+
+    return dealt.mapInArrow(run, "hub long, node long")
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,9 +310,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     links = links.union(scratch.write(_verify(apart, texts, n, percent, parts), "links2"))
     labels = components(links, "hub", "node", scratch, "cc2")
     if not groups.isEmpty():
-        tried = ranked.select(F.least("hub", "node").alias("p"), F.greatest("hub", "node").alias("q"))
-        rest = _across(groups, labels).join(tried, (F.least("hub", "node") == F.col("p")) & (F.greatest("hub", "node") == F.col("q")), "left_anti")
-        more = scratch.write(_verify(scratch.write(rest, "rest"), texts, n, percent, parts), "links3")
+        more = scratch.write(_across(groups, labels, texts, n, percent, parts, scratch), "links3")
         if not more.isEmpty():
             labels = components(links.union(more), "hub", "node", scratch, "cc3")
 
@@ -275,3 +320,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     out = sketches.select("k", "n_shingles", "f").join(classes, "f", "left").withColumn("c", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("k")))
     real = [F.when(F.col(c) != _ABSENT, F.col(c)) for c in ("k", "c")]
     return out.select(real[0].alias(key), "n_shingles", real[1].alias("component_id"), (F.col("k") == F.col("c")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The documents that are kept, one of each component; rows that share a key stay or go together."""
+    kept = near_duplicates(docs, key, text, **how).where("kept").select(F.col(key).alias("_kept"))
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
