@@ -1,4 +1,4 @@
-"""The query catalogue: one entry per operator of the library."""
+"""The query catalogue: one entry per operator of the library, and its SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrazone.plans import graph_queries, panel_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return panel_queries.QUERIES | graph_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return panel_queries.SQL | graph_queries.SQL
