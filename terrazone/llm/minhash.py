@@ -8,12 +8,10 @@ missed with a probability of about 4e-4, at 0.9 of about 3e-7; at 0.03, as unrel
 Nodes are distinct shingle sets, so exact copies are one node from the start, and a hot text is combined before any
 shuffle. Keys travel as packed arrays, one row for each map task and bucket of keys.
 
-Candidates of a key are verified in rounds, and a pair whose ends are already connected is never verified, which
-cannot change a component:
-1. in small groups (up to ``SMALL`` nodes) all pairs, in larger ones a star; each node first tries its two most
-   frequent partners;
-2. the other pairs of these whose ends are still apart;
-3. in larger groups that still hold several components, everything outside the largest against everything, in
+Candidates of a key are verified in two rounds, and a pair whose ends are already connected is not verified again,
+which cannot change a component:
+1. in small groups (up to ``SMALL`` nodes) all pairs, in larger ones a star;
+2. in larger groups that still hold several components, everything outside the largest against everything, in
    blocks of texts inside which the sets are intersected.
 So no candidate link between different texts is lost, while the rows made stay near the number of texts.
 
@@ -31,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terrazone.llm import frames, kernels, store
 from terrazone.llm.components import components
@@ -142,7 +139,7 @@ def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _candidates(keyed: DataFrame, small: int) -> DataFrame:
-    """Rows of two kinds: pairs (a < b, n tables), and larger groups (key, ids)."""
+    """Rows of two kinds: pairs (a < b), and larger groups (key, ids)."""
 
     def run(table: pa.Table) -> pa.Table:
         key, node, first = _groups(table)
@@ -165,16 +162,15 @@ def _candidates(keyed: DataFrame, small: int) -> DataFrame:
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        n = np.diff(np.append(new, len(a)))
         large = np.flatnonzero(size > small)
         ids = [node[first[g] : first[g + 1]].tobytes() for g in large]
         none = len(new)
         return pa.table({
             "a": pa.array(np.concatenate([a[new], key[large].view(np.int64)])), "b": pa.array(np.concatenate([b[new], np.zeros(len(large), np.int64)])),
-            "n": pa.array(np.concatenate([n, np.zeros(len(large), np.int64)])), "ids": pa.array([None] * none + ids, pa.binary()),
+            "ids": pa.array([None] * none + ids, pa.binary()),
         })
 
-    return keyed.groupBy("bucket").applyInArrow(run, "a long, b long, n long, ids binary")
+    return keyed.groupBy("bucket").applyInArrow(run, "a long, b long, ids binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
@@ -293,7 +289,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-nodes.count() * atoms * atoms // BUCKET_KEYS))
     found = scratch.write(_candidates(_keys(nodes, atoms, buckets), small), "found")
-    pairs = scratch.write(found.where("ids is null").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    pairs = scratch.write(found.where("ids is null").select("a", "b").distinct(), "pairs")
     groups = found.where("ids is not null").select("a", "ids")
 
     # one text for each node of a pair; nodes of larger groups are in its star
@@ -301,18 +297,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     held = frames.enrich(ends.join(rows, "k"), lambda: lambda data, off: {"g": sketch(data, off, n, 0, 0)["f"]}, "g long", keep=["f", "text"])
     texts = scratch.write(held.where("f = g").groupBy("f").agg(F.first("text").alias("text")), "texts")
 
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
-    ranked = scratch.write(pairs.withColumn("r", best).select(F.col("a").alias("hub"), F.col("b").alias("node"), "r"), "ranked")
-    links = scratch.write(_verify(ranked.where("r <= 2").select("hub", "node"), texts, n, percent, parts), "links1")
+    links = scratch.write(_verify(pairs.select(F.col("a").alias("hub"), F.col("b").alias("node")), texts, n, percent, parts), "links1")
     labels = components(links, "hub", "node", scratch, "cc1")
-    x, y = labels.select(F.col("id").alias("hub"), F.col("root").alias("rx")), labels.select(F.col("id").alias("node"), F.col("root").alias("ry"))
-    apart = ranked.where("r > 2").join(x, "hub", "left").join(y, "node", "left").where(F.coalesce("rx", "hub") != F.coalesce("ry", "node")).select("hub", "node")
-    links = links.union(scratch.write(_verify(apart, texts, n, percent, parts), "links2"))
-    labels = components(links, "hub", "node", scratch, "cc2")
     if not groups.isEmpty():
-        more = scratch.write(_across(groups, labels, texts, n, percent, parts, scratch), "links3")
+        more = scratch.write(_across(groups, labels, texts, n, percent, parts, scratch), "links2")
         if not more.isEmpty():
-            labels = components(links.union(more), "hub", "node", scratch, "cc3")
+            labels = components(links.union(more), "hub", "node", scratch, "cc2")
 
     named = nodes.select("f", "k").join(labels.withColumnRenamed("id", "f"), "f", "left").select("f", "k", F.coalesce("root", "f").alias("root"))
     least = named.groupBy("root").agg(F.min("k").alias("c"))
