@@ -93,12 +93,11 @@ def _keys(nodes: DataFrame, atoms: int, buckets: int) -> DataFrame:
     """bucket, keys, ids: the table keys of all nodes, packed for each task and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            key, node = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            key, node, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(bucket, kind="stable")
             key, node, bucket = key[order], node[order], bucket[order]
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -115,7 +114,9 @@ def _keys(nodes: DataFrame, atoms: int, buckets: int) -> DataFrame:
             node = batch.column(0).to_numpy(zero_copy_only=False)
             for i in range(atoms):
                 key = kernels.mix(table[:, i : i + 1] * _PRIME + table[:, atoms:] + np.arange(i * atoms, (i + 1) * atoms, dtype=np.uint64)[None, :])
-                held.append((key.ravel(), np.repeat(node, atoms)))
+                # all tables of an atom of the first collection share a bucket, so that a pair that meets in several is made once
+                bucket = (kernels.mix(table[:, i] + np.uint64(i)) % np.uint64(buckets)).astype(np.int32)
+                held.append((key.ravel(), np.repeat(node, atoms), np.repeat(bucket, atoms)))
             size += m * atoms * atoms
             if size > BUCKET_KEYS:
                 yield flush()
