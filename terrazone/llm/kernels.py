@@ -1,7 +1,7 @@
 """NumPy kernels over concatenated UTF-8 text, shared by the Arrow-batched operators.
 
-All of them work on a few hundred documents at once, so the interpreter is entered per slice of about a
-megabyte and not per document or word. Hashes are 64-bit and used to propose matches; where an operator's
+All of them work on a few hundred documents at once, so the interpreter is entered per slice of about
+half a megabyte and not per document or word. Hashes are 64-bit and used to propose matches; where an operator's
 contract is exact, it verifies them or says why a collision is out of reach.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(32)

@@ -80,7 +80,7 @@ def split(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """A tokenizer with a bounded table of the ids of pre-tokens."""
 
-    SLOTS, MOST = 1 << 21, 1_200_000
+    SLOTS, MOST = 1 << 20, 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
