@@ -59,8 +59,11 @@ def sample(points: DataFrame, raster: DataFrame, x0: float, y0: float, dx: float
     """Each point's cell (node, x, y to row, col) and its values; a point outside the raster is an error when read.
     y0 is the upper border."""
     at = points.withColumns({"row": F.floor((y0 - F.col("y")) / dy).cast("long"), "col": F.floor((F.col("x") - x0) / dx).cast("long")})
+    values = [c for c in raster.columns if c not in ("row", "col")]
     joined = at.join(raster.withColumn("_in", F.lit(True)), ["row", "col"], "left")
-    return joined.withColumn("row", F.when(F.col("_in"), F.col("row")).otherwise(F.raise_error(F.lit("a point lies outside the raster")).cast("long"))).drop("_in")
+    outside = F.raise_error(F.lit("a point lies outside the raster"))
+    checked = {c: F.when(F.col("_in"), F.col(c)).otherwise(outside.cast(joined.schema[c].dataType)) for c in ["row", *values]}
+    return joined.withColumns(checked).drop("_in")
 
 
 def nearest_axis(points: DataFrame, axis: DataFrame, value: str, at: str, name: str) -> DataFrame:

@@ -134,10 +134,10 @@ def point_in_polygon(spark, sf_dir):
     return terrain.inside(points, _POLYGON, buffer=2.0).select("id")
 
 
-@query(with_(_LATTICE) + " SELECT c_custkey AS node, z FROM customer JOIN r ON row = floor((899.5 - (c_custkey % 900)) / 100.0) AND col = floor((c_acctbal - -2000) / 400.0)")
+@query(with_(_LATTICE) + " SELECT c_custkey AS node, z FROM customer JOIN r ON row = floor(4.5 - c_custkey % 5) AND col = floor((c_acctbal - -2000) / 400.0)")
 def nearest_cell(spark, sf_dir):
-    points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 900).cast("double").alias("y"))
-    return terrain.sample(points, _lattice(spark, sf_dir), -2000.0, 899.5, 400.0, 100.0).select("node", "z")
+    points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 5).cast("double").alias("y"))
+    return terrain.sample(points, _lattice(spark, sf_dir), -2000.0, 4.5, 400.0, 1.0).select("node", "z")
 
 
 @query("WITH a AS (SELECT DISTINCT CAST(p_size AS DOUBLE) * 200 AS g FROM part) SELECT s_suppkey AS node, min_by(g, {'d': abs(g - s_acctbal), 'g': g}) AS g FROM supplier, a GROUP BY s_suppkey")
