@@ -117,16 +117,21 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     return cuts, chosen
 
 
-def uses(docs: DataFrame, keep: list[str] | None = None, **how) -> DataFrame:
+def _chosen(docs: DataFrame, key: str, source: str, text: str, how: dict) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with their cuts applied, their own columns under names that meet no other."""
+    own = {c: f"own{k}" for k, c in enumerate(docs.columns)}
+    return plan(docs.toDF(*own.values()), own[key], own[source], own[text], **how)[1], own
+
+
+def uses(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None, **how) -> DataFrame:
     """Each row's kept columns, n_tokens, weight (of its source), block_order and n_uses."""
+    rows, own = _chosen(docs, key, source, text, how)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "weight", "block_order", "n_uses")]
-    _, chosen = plan(docs.select(*docs.columns), **how)
-    return chosen.select(*[F.col(f"`{c}`") for c in keep], "n_tokens", "weight", F.col("_u").alias("block_order"), "n_uses")
+    return rows.select(*[F.col(own[c]).alias(c) for c in keep], "n_tokens", "weight", F.col("_u").alias("block_order"), "n_uses")
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The documents, each as often as it is used and not at all if that is never; columns as in docs."""
-    clash = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c in ("n_tokens", "weight", "share", "epochs", "blocks", "tokens", "edge_u", "edge_v", "alpha", "n_uses")}
-    _, chosen = plan(docs.withColumnsRenamed(clash), **how)
-    rows = chosen.where("n_uses > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("n_uses"))))
-    return rows.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
+    rows, own = _chosen(docs, key, source, text, how)
+    rows = rows.where("n_uses > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("n_uses"))))
+    return rows.select(*[F.col(o).alias(c) for c, o in own.items()])
