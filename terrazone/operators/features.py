@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,6 +91,21 @@ def blocks(panel: DataFrame) -> tuple[DataFrame, list[list[str]]]:
     return joined, [*names, LONG_TERM]
 
 
+def products(rows: DataFrame, column: str, dim: int) -> tuple[int, np.ndarray]:
+    """How many rows, and the sum of their outer products: one matrix for each task, added up on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((dim, dim)), 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            total, n = total + x.T @ x, n + len(x)
+        at = np.append(np.arange(dim * dim), -1)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(total.ravel(), float(n)))], names=["at", "v"])
+
+    found = dict(map(tuple, rows.select(column).mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()))
+    return int(found.pop(-1, 0)), np.array([found.get(k, 0.0) for k in range(dim * dim)]).reshape(dim, dim)
+
+
 def latent(panel: DataFrame, threshold: float = 0.95, epsilon: float = EPSILON) -> tuple[DataFrame, dict]:
     """node, z: scaled blocks of equal energy, centred and projected on the first principal axes that hold `threshold`
     of the variance, signs fixed by each axis's largest weight, then scaled robustly.
@@ -101,11 +119,7 @@ def latent(panel: DataFrame, threshold: float = 0.95, epsilon: float = EPSILON)
     scaled = rows.select("node", F.array(*[F.col(c) / (max(e, epsilon) * 3**0.5) for p, e in zip(parts, energy, strict=True) for c in p]).alias("x"))
     mean = np.array(scaled.agg(*[F.avg(F.col("x")[k]) for k in range(len(names))]).first())
     centred = scaled.withColumn("x", F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = centred.agg(F.count("*"), *[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).first()
-    n, gram = sums[0], np.zeros((len(names), len(names)))
-    for (i, j), s in zip(pairs, sums[1:], strict=True):
-        gram[i, j] = gram[j, i] = s
+    n, gram = products(centred, "x", len(names))
     if n < 2:
         raise ValueError("a latent space takes at least two nodes")
     value, axes = np.linalg.eigh(gram / (n - 1))

@@ -40,10 +40,11 @@ def recovery_error(nodes: DataFrame, estimate: str, truth: str) -> DataFrame:
 
 def rand_index(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row: the adjusted Rand index of two labelings, by one pass of grouping sets."""
-    counted = rows.groupingSets([[F.col(a), F.col(b)], [F.col(a)], [F.col(b)], []], F.col(a), F.col(b)).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    rows = rows.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    counted = rows.groupingSets([[F.col("_a"), F.col("_b")], [F.col("_a")], [F.col("_b")], []], F.col("_a"), F.col("_b")).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     pairs = {name: F.sum(F.when(F.col("g") == g, choose2(F.col("n"))).otherwise(0.0)) for name, g in (("both", 0), ("left", 1), ("right", 2), ("all", 3))}
     s = counted.agg(*[x.alias(n) for n, x in pairs.items()])
-    expected, most = F.col("left") * F.col("right") / F.col("all"), (F.col("left") + F.col("right")) / 2
+    expected, most = F.try_divide(F.col("left") * F.col("right"), F.col("all")), (F.col("left") + F.col("right")) / 2
     flat = F.when(F.col("both") == most, 1.0).otherwise(0.0)
     return s.select(F.when((F.col("all") == 0) | (most == expected), flat).otherwise((F.col("both") - expected) / (most - expected)).alias("ari"))
 
@@ -54,7 +55,7 @@ def average_precision(rows: DataFrame, positive: str, score: str) -> DataFrame:
     w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     upto = by.select(F.col("s"), "tp", F.sum("tp").over(w).alias("ctp"), F.sum("n").over(w).alias("cn"))
     total = rows.agg(F.sum(F.col(positive).cast("long")).alias("p"))
-    area = F.sum(F.col("tp") / F.col("p") * F.col("ctp") / F.col("cn"))
+    area = F.sum(F.try_divide(F.col("tp"), F.col("p")) * F.col("ctp") / F.col("cn"))
     return upto.crossJoin(F.broadcast(total)).agg(F.coalesce(F.when(F.max("p") > 0, area), F.lit(0.0)).alias("auprc"))
 
 

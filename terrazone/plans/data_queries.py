@@ -48,9 +48,9 @@ def date_intersection(spark, sf_dir):
     return a.intersect(b).select(F.date_format("t", "yyyy-MM").alias("month"))
 
 
-@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25")
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
 def set_difference(spark, sf_dir):
-    used = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_partkey").alias("p_partkey"))
+    used = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left_anti").distinct()
 
 

@@ -96,8 +96,8 @@ def read_zipped(spark: SparkSession, path: str, member: str = r"\.csv$") -> Data
 
 def dated(paths: DataFrame, column: str = "path") -> DataFrame:
     """Adds day: the first eight digits of each file's name; files without are left out."""
-    name = F.regexp_extract(column, r"([^/]*)$", 1)
-    return paths.withColumn("day", F.to_date(F.regexp_extract(name, r"(\d{8})", 1), "yyyyMMdd")).where("day is not null")
+    digits = F.regexp_extract(F.regexp_extract(column, r"([^/]*)$", 1), r"(\d{8})", 1)
+    return paths.withColumn("day", F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date")).where("day is not null")
 
 
 def read_raster_series(spark: SparkSession, path: str, decode=None) -> DataFrame:

@@ -52,10 +52,10 @@ def test_shortcuts_and_guards():
         Problem(p.z, p.rho, np.array([[1, 1]]), np.ones(1), 1.0, 0.1)
 
 
-def test_resume_equals_one_run():
+def test_checks_are_seen():
     p = path()
     seen = []
-    whole = total_variation(p, method="diagonal", max_iters=300, tol=0.0, check_every=100, on_check=lambda k, u, y, r: seen.append(k))
+    whole = total_variation(p, method="diagonal", max_iters=300, tol=-1.0, check_every=100, on_check=lambda k, u, y, r: seen.append(k))
     assert seen == [1, 100, 200, 300] and not whole.converged
 
 
@@ -67,7 +67,7 @@ def test_frames_equal_numpy(spark):
     for _ in range(2):
         nodes, links = recovery.primal_dual_step(nodes, links, p.s, p.lam, 3)
     u = np.array([r.u for r in nodes.orderBy("node").collect()])
-    want = total_variation(p, max_iters=2, tol=0.0)
+    want = total_variation(p, max_iters=2, tol=-1.0)
     assert np.allclose(u, want.u, atol=1e-14)
     got = recovery.certificate(nodes, links, p.s, p.lam, 3).first()
     for name, value in p.judge(want.u, want.y).items():

@@ -11,14 +11,14 @@ from terrazone.streaming import epochs as arriving
 
 
 def test_wide_table(spark, tmp_path):
-    (tmp_path / "m.csv").write_text("pid;easting;northing;coherence;vel_std;D01012015;D05072015;D17072015;D29072015;D10082015\n a.0;1;2;0.5;0.1;9;1.5;;2;3\nb;3;4;0.6;0.2;9;1;2;3;4\n")
+    (tmp_path / "m.csv").write_text("pid;easting;northing;coherence;vel_std;D01012015;D05072015;D17072015;D29072015;D10082015;D22082015\n a.0;1;2;0.5;0.1;9;1.5;;2;3;4\nb;3;4;0.6;0.2;9;1;2;3;4;5\n")
     points, observed = readers.read_wide(spark, str(tmp_path / "m.csv"), readers.MENDATICA)
     assert [r.point_id for r in points.orderBy("point_id").collect()] == ["a", "b"]
     rows = observed.orderBy("point_id", "t").collect()
-    assert len(rows) == 8 and rows[0].value == 1.5 and rows[1].value is None and str(rows[0].t)[:10] == "2015-07-05"
-    assert readers.read_wide(spark, str(tmp_path / "m.csv"), readers.MENDATICA, "train_only")[1].count() == 4
+    assert len(rows) == 10 and rows[0].value == 1.5 and rows[1].value is None and str(rows[0].t)[:10] == "2015-07-05"
+    assert readers.read_wide(spark, str(tmp_path / "m.csv"), readers.MENDATICA, "train_only")[1].count() == 6
     grid = panels.grid(observed.withColumnRenamed("point_id", "node"))
-    assert grid.count() == 8 and grid.where("period = 'train'").count() == 4
+    assert grid.count() == 10 and grid.where("period = 'train'").count() == 6
 
 
 def test_zip_in_zip(spark, tmp_path):
