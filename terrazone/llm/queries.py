@@ -77,6 +77,20 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+#: CRC-32 by its table of 256 remainders, a byte at a time; cuts nearest to the sixteenths of all bytes.
+OP6_SQL = """
+WITH RECURSIVE t(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) + 1 AS size, substr(md5(coalesce(text, '')), 1, 15) AS m FROM documents),
+b AS (SELECT doc_id, list_transform(range(size - 1), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT)) AS b FROM d),
+c AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+o AS (SELECT doc_id, size, m, sum(size) OVER (ORDER BY m, doc_id) - size AS before, sum(size) OVER () AS total FROM d),
+cuts AS (SELECT CASE WHEN j * total - before * 16 > (before + size) * 16 - j * total THEN before + size ELSE before END AS cut FROM o, range(1, 16) g(j) WHERE before * 16 < j * total AND (before + size) * 16 >= j * total),
+s AS (SELECT *, (SELECT count(*) FROM cuts WHERE cut <= before) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY m, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s JOIN c USING (doc_id)
+"""
+
+
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.uses(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
     return found.withColumn("weight", F.round("weight", 9))
@@ -158,4 +172,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_blocks": OP1_SQL, "op3_minhash_components": OP3_SQL, "op7_temperature_mixing": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_suffix_blocks": OP1_SQL, "op3_minhash_components": OP3_SQL, "op6_histogram_shards": OP6_SQL, "op7_temperature_mixing": OP7_SQL, "op8_decontaminate": OP8_SQL}

@@ -407,3 +407,13 @@ def test_pipeline(spark, data):
     assert sum(used.values()) == inputs[4].count() == now.count()
     whole = corpus_pipeline.run(spark, data)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, now.collect()))
+
+
+def test_stages_take_odd_and_empty_tables(spark, data, odd, empty):
+    import corpus_pipeline
+
+    for docs_ in (odd, empty):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            got = stage(spark, docs_, data)
+            assert got.columns == docs_.columns if k < 4 else got.count() == docs_.count()
+            got.write.format("noop").mode("overwrite").save()
