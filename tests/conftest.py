@@ -1,5 +1,6 @@
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -42,7 +43,7 @@ def same(spark_rows, duck_rows) -> bool:
 
     def canon(df):
         df = df[sorted(df.columns)]
-        cell = lambda v: None if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+        cell = lambda v: None if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v)
         return sorted(([cell(v) for v in r] for r in df.astype(object).values.tolist()), key=str)
 
     return sorted(spark_rows.columns) == sorted(duck_rows.columns) and canon(spark_rows) == canon(duck_rows)
