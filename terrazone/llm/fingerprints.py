@@ -1,7 +1,7 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
-A rolling hash of seven bytes closes a chunk where its low k bits are zero; each chunk adds one of 64 characters to
-the signature. A fingerprint is `k:signature at k:signature at k + 1`, k from the length in bytes, so that texts
+A rolling hash of seven bytes closes a chunk where its low k bits are zero, or fewer bits in a stretch where that does
+not happen for long; each chunk adds one of 64 characters to the signature. A fingerprint is `k:signature at k:signature at k + 1`, k from the length in bytes, so that texts
 within a factor of two in length have a block size in common. Likeness is one less the edit distance of two
 signatures of a common block size over the longer one's length, 0 where they share no short run of characters.
 
@@ -13,6 +13,7 @@ folded into one last character.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,11 @@ from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField,
 from terrazone.llm import kernels, store
 
 WINDOW = 7
+#: Of a signature's runs of one character three count: repeated chunks say little.
+_RUN = re.compile(r"([^:])\1{3,}")
 MOST = 128
+#: A stretch is long from this many times the expected chunk.
+WIDE = 4
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 #: Rows of a bucket of the neighbour search, and the most buckets (their edges are gathered on the driver).
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 4_000
@@ -42,6 +47,12 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> list[str]:
     return out
 
 
+def _chunks(close: np.ndarray, first: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and begins of all chunks; a text's last chunk ends with it."""
+    ends = np.union1d(close + 1, first[1:][lens > 0])
+    return ends, np.concatenate([[0], ends[:-1]])[: len(ends)]
+
+
 def _slice(data: np.ndarray, off: np.ndarray) -> list[str]:
     part = kernels.Texts(data, off, gap=8)
     n, lens, k = part.n, part.lens, _blocks(part.lens)
@@ -54,18 +65,18 @@ def _slice(data: np.ndarray, off: np.ndarray) -> list[str]:
     for level in (0, 1):
         low = ((np.int64(1) << (k + level)) - 1).astype(np.uint64)
         close = np.flatnonzero((rolled & np.repeat(low, lens)) == 0)
-        # where a text repeats itself few windows close a chunk: lower k until eight do
-        count = np.bincount(doc[close], minlength=n)
-        for d in np.flatnonzero((count < 8) & (k + level > 1) & (lens > 16)):
-            r = rolled[first[d] : first[d + 1]]
-            for lower in range(int(k[d]) + level - 1, 0, -1):
-                found = np.flatnonzero((r & np.uint64((1 << lower) - 1)) == 0)
-                if len(found) >= 8:
-                    break
-            close = np.concatenate([close[doc[close] != d], found + first[d]])
-        close = np.sort(close)
-        ends = np.union1d(close + 1, first[1:][lens > 0])  # the last chunk ends with the text
-        begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        ends, begins = _chunks(close, first, lens)
+        # a long stretch without such a window (a text that repeats itself) closes at fewer zero bits, step by step;
+        # that depends on the stretch alone, so it is cut alike in another text
+        for fewer in range(1, int(k.max(initial=0)) + level):
+            own = doc[ends - 1]
+            wide = np.flatnonzero((ends - begins > WIDE << (k[own] + level)) & (fewer < k[own] + level))
+            if not len(wide):
+                break
+            inside = kernels.ragged(begins[wide], ends[wide] - begins[wide])
+            fits = ((np.int64(1) << np.maximum(k[doc[inside]] + level - fewer, 0)) - 1).astype(np.uint64)
+            close = np.concatenate([close, inside[(rolled[inside] & fits) == 0]])
+            ends, begins = _chunks(close, first, lens)
         char = _ALPHABET[(kernels.mix(sums[ends] - sums[begins]) >> np.uint64(58)).astype(np.int64)]
         edge = np.searchsorted(ends - 1, first)
         signs.append((char, edge))
@@ -111,7 +122,7 @@ def likeness(a: list[str], b: list[str]) -> np.ndarray:
         if x == y:
             out[k] = 1
             continue
-        (i, s0, s1), (j, t0, t1) = x.split(":"), y.split(":")
+        (i, s0, s1), (j, t0, t1) = (_RUN.sub(r"\1\1\1", z).split(":") for z in (x, y))
         gap = int(i) - int(j)
         tries = [(s0, t0), (s1, t1)] if gap == 0 else [(s0, t1)] if gap == 1 else [(s1, t0)] if gap == -1 else []
         for m, (s, t) in enumerate(tries):
