@@ -305,6 +305,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         if not more.isEmpty():
             labels = components(links.union(more), "hub", "node", scratch, "cc2")
 
+    scratch.drop("found", "pairs", "texts", "links1", "links2", "mixed")  # the result reads the others
+
     named = nodes.select("f", "k").join(labels.withColumnRenamed("id", "f"), "f", "left").select("f", "k", F.coalesce("root", "f").alias("root"))
     least = named.groupBy("root").agg(F.min("k").alias("c"))
     classes = named.join(least, "root").select("f", "c")
