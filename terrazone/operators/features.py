@@ -75,7 +75,7 @@ def block_energy(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def blocks(panel: DataFrame) -> tuple[DataFrame, list[list[str]]]:
     """Each node's three blocks side by side: 12 segment means of the normalised series, 12 of its rates, 14 statistics."""
-    filled = timeaxis.interpolate(panel)
+    filled = timeaxis.interpolate(panel).persist()  # read by each of the three blocks
     lengths = filled.agg(F.countDistinct("e").alias("n"), F.min("e").alias("first")).first()
     if lengths.n < 13:
         raise ValueError("a construction period has at least 13 epochs")
