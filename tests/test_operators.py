@@ -131,7 +131,7 @@ def test_reliability_undoes_noise():
 
 def test_latent_space(spark):
     rng = np.random.default_rng(5)
-    z, found = features.latent(panel(spark, rng.normal(size=(20, 16)).cumsum(axis=1).tolist(), (0.9, 0.05, 0.05)))
+    z, found = features.latent(panel(spark, rng.normal(size=(20, 20)).cumsum(axis=1).tolist(), (0.8, 0.1, 0.1)))
     held = np.array([r.z for r in z.collect()])
     assert held.shape == (20, found["components"]) and found["shares"][found["components"] - 1] >= 0.95 > found["shares"][found["components"] - 2]
     assert np.allclose(np.median(held, axis=0), 0, atol=1e-9)
