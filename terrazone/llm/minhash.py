@@ -39,7 +39,8 @@ ATOMS, DEPTH = 12, 3
 SMALL = 3
 #: Texts of a block of nodes outside a cluster's largest component, and of all its nodes.
 MINOR_BLOCK, MAJOR_BLOCK = 256, 512
-BUCKET_KEYS = 1_500_000
+#: Keys of a bucket, and keys that a task holds before it sends them.
+BUCKET_KEYS, SENT_KEYS = 1_000_000, 500_000
 MEMBERS = 64
 _ABSENT = -(2**63)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -118,7 +119,7 @@ def _keys(nodes: DataFrame, atoms: int, buckets: int) -> DataFrame:
                 bucket = (kernels.mix(table[:, i] + np.uint64(i)) % np.uint64(buckets)).astype(np.int32)
                 held.append((key.ravel(), np.repeat(node, atoms), np.repeat(bucket, atoms)))
             size += m * atoms * atoms
-            if size > BUCKET_KEYS:
+            if size > SENT_KEYS:
                 yield flush()
                 size = 0
         if held:

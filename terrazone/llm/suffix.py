@@ -35,9 +35,9 @@ from terrazone.llm import kernels, store
 
 LENGTH = 400
 PASSES = 4
-CHUNK_BYTES = 4 << 20
-BUCKET_KEYS = 1_500_000
-FLUSH = 2_000_000
+CHUNK_BYTES = 2 << 20
+BUCKET_KEYS = 1_000_000
+FLUSH = 1_000_000
 _BLOCK = 1 << 20
 
 
