@@ -263,6 +263,56 @@ def test_lines(spark, odd, empty, data):
     assert fuzzylines.dedup(empty).count() == 0
 
 
+def removed_by_similarity(rows, min_words):
+    """Lines removed for each row by brute force on edit similarity alone; texts are ASCII."""
+    nodes, seen = {}, []
+    for k, t in rows:
+        for i, x in enumerate(t.split("\n")):
+            w = "".join(chr(fuzzylines._PLAIN[ord(c)]) if ord(c) < 128 else c for c in x).split()
+            if len(w) >= max(min_words, 1):
+                nodes.setdefault(" ".join(w), None)
+                seen.append((k, i, " ".join(w)))
+    names = sorted(nodes)
+    root = {x: x for x in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(names):
+        for y in names[:i]:
+            if 5 * abs(len(x) - len(y)) <= max(len(x), len(y)) and find(x) != find(y) and 5 * plain_distance(x, y) <= max(len(x), len(y)):
+                root[find(x)] = find(y)
+    first, gone = {}, defaultdict(set)
+    for k, i, x in sorted(seen):
+        if first.setdefault(find(x), (k, i)) != (k, i):
+            gone[k].add(i)
+    return {k: len(gone[k]) for k, _ in rows}
+
+
+def typing(rng, lines_, share):
+    """Each line with this share of its characters (one at least) replaced."""
+    out = []
+    for x in lines_:
+        y = list(x)
+        for p in rng.choice(len(x), max(1, int(share * len(x))), replace=False):
+            y[p] = chr(97 + (ord(y[p]) + int(rng.integers(1, 20))) % 26)
+        out.append("".join(y))
+    return out
+
+
+def test_lines_by_edit_similarity_alone(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    base = [" ".join(rng.choice(vocabulary, rng.integers(4, 25))) for _ in range(80)]
+    rows = [(i, x) for i, x in enumerate([*base, *typing(rng, base, 0)])]
+    want = removed_by_similarity(rows, 4)
+    got = {r.doc_id: r.n_removed for r in fuzzylines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), distance=None).collect()}
+    assert sum(want.values()) == 80 and all(got[k] <= n for k, n in want.items())
+    assert sum(got.values()) >= 0.97 * 80
+
+
 # 6 ----------------------------------------------------------------------------------------------------------------
 
 
