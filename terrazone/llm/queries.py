@@ -70,7 +70,7 @@ def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzylines.dedup(table(spark, sf_dir, "documents"), distance=None)
+    return fuzzylines.dedup(table(spark, sf_dir, "documents"), min_words=1, distance=None)
 
 
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

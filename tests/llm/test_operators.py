@@ -264,7 +264,7 @@ def test_lines(spark, odd, empty, data):
 
 
 def removed_by_similarity(rows, min_words):
-    """Lines removed for each row by brute force on edit similarity alone; texts are ASCII."""
+    """Lines removed for each row by brute force on edit similarity alone."""
     nodes, seen = {}, []
     for k, t in rows:
         for i, x in enumerate(t.split("\n")):
@@ -313,6 +313,18 @@ def test_lines_by_edit_similarity_alone(spark):
     assert sum(got.values()) >= 0.97 * 80
 
 
+def test_short_lines_and_lines_without_spaces(spark, tmp_path):
+    han = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(40))
+    rows = [
+        (1, "les\nab cd ef\n" + han), (2, "LES.\nab cd ef\n" + han), (3, "let\n\nab cd eg\n" + han[:20] + "x" + han[21:]),
+        (4, "\n\nhello\n" + han[::-1]), (5, "hallo\n" + han[:8]), (6, han[:8] + "\n" + han[1:6]), (7, "hallo you\n" + han[:3] + "y" + han[4:8]),
+    ]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = {r.doc_id: r.n_removed for r in queries.op5_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert got == removed_by_similarity(rows, 1) == {1: 0, 2: 3, 3: 2, 4: 0, 5: 1, 6: 1, 7: 1}
+
+
 # 6 ----------------------------------------------------------------------------------------------------------------
 
 
