@@ -104,11 +104,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for k, block in enumerate(parts):
         tables = spark.sparkContext.broadcast(windows([tuple(r) for r in block.collect()], n))
         last, before = k == len(parts) - 1, k > 0
-        now = _pass(now, tables, text, [*columns, *(["_hit", "_items"] if before else [])], last, spans)
+        carried = columns if last or text in columns else [*columns, text]  # later blocks read the text again
+        now = _pass(now, tables, text, [*carried, *(["_hit", "_items"] if before else [])], last, spans)
         if not last:
             now = scratch.write(now, f"pass{k}")
-            if text not in columns:
-                raise ValueError("a benchmark of several blocks needs the text among the kept columns")
     return now
 
 

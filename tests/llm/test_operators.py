@@ -402,6 +402,15 @@ def test_decontamination(spark, odd, empty, block):
     assert decontam.decontaminate(odd, bench.where("false")).where("n_hit > 0").isEmpty() and decontam.decontaminate(empty, bench).count() == 0
 
 
+def test_decontamination_by_blocks_keeps_only_the_key(spark, odd):
+    items = [(i, f"{w} brown fox") for i, w in enumerate(["quick", "slow", "red"] * 4)] + [(20, "the lazy dog near the old river bank at dawn"), (21, "line two is here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontam.blocks(bench, "item_id", "text", 60)) > 2
+    got = decontam.decontaminate(odd, bench, keep=["doc_id"], block_bytes=60)
+    assert got.columns == ["doc_id", "n_words", "n_hit", "item_ids", "contaminated"]
+    assert sorted(map(tuple, got.collect()), key=str) == plain_hits(docs(odd), items)
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------
 
 
