@@ -5,9 +5,12 @@ not happen for long; each chunk adds one of 64 characters to the signature. A fi
 within a factor of two in length have a block size in common. Likeness is one less the edit distance of two
 signatures of a common block size over the longer one's length, 0 where they share no short run of characters.
 
+A chunk that the text had before adds no further character, so a repeated passage takes up a signature once. Where
+more than ``MOST`` chunks are left, those that end at the windows of least hash stay apart and the others join the
+chunk after them: every byte counts and no part of the text is preferred.
+
 Defined results: null counts as empty; two empty texts, like any two equal fingerprints, have likeness 1, an empty
-and another text 0. Texts of any length are hashed whole; a signature's characters from the 127th chunk on are
-folded into one last character.
+and another text 0. Texts of any length are hashed whole. How often a chunk is repeated is not told.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ WINDOW = 7
 #: Of a signature's runs of one character three count: repeated chunks say little.
 _RUN = re.compile(r"([^:])\1{3,}")
 MOST = 128
+_PICK = np.uint64(0xA0761D6478BD642F)
 #: A stretch is long from this many times the expected chunk.
 WIDE = 4
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
@@ -53,6 +57,24 @@ def _chunks(close: np.ndarray, first: np.ndarray, lens: np.ndarray) -> tuple[np.
     return ends, np.concatenate([[0], ends[:-1]])[: len(ends)]
 
 
+def _signatures(chunk: np.ndarray, own: np.ndarray, window: np.ndarray, n: int) -> list[str]:
+    """The characters of each text's chunks: their hashes, texts and the hashes of the windows that close them."""
+    order = np.lexsort((chunk, own))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (chunk[order[1:]] != chunk[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
+    at = np.sort(order[new])  # the sort is stable: first occurrences
+    chunk, own, window = chunk[at], own[at], window[at]
+    edge = np.searchsorted(own, np.arange(n + 1))
+    out = []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        h = chunk[a:b]
+        if len(h) > MOST:
+            ends = np.sort(np.argsort(kernels.mix(window[a : b - 1] ^ _PICK), kind="stable")[: MOST - 1])
+            h = kernels.mix(np.add.reduceat(h, np.concatenate([[0], ends + 1])))
+        out.append(_ALPHABET[(h >> np.uint64(58)).astype(np.int64)].tobytes().decode())
+    return out
+
+
 def _slice(data: np.ndarray, off: np.ndarray) -> list[str]:
     part = kernels.Texts(data, off, gap=8)
     n, lens, k = part.n, part.lens, _blocks(part.lens)
@@ -77,16 +99,10 @@ def _slice(data: np.ndarray, off: np.ndarray) -> list[str]:
             fits = ((np.int64(1) << np.maximum(k[doc[inside]] + level - fewer, 0)) - 1).astype(np.uint64)
             close = np.concatenate([close, inside[(rolled[inside] & fits) == 0]])
             ends, begins = _chunks(close, first, lens)
-        char = _ALPHABET[(kernels.mix(sums[ends] - sums[begins]) >> np.uint64(58)).astype(np.int64)]
-        edge = np.searchsorted(ends - 1, first)
-        signs.append((char, edge))
+        signs.append(_signatures(kernels.mix(sums[ends] - sums[begins]), doc[ends - 1], rolled[ends - 1], n))
     out = []
     for d in range(n):
-        both = []
-        for char, edge in signs:
-            s = char[edge[d] : edge[d + 1]].tobytes()
-            both.append((s if len(s) <= MOST else s[: MOST - 1] + _ALPHABET[hashlib.sha256(s[MOST - 1 :]).digest()[0] & 63 : (hashlib.sha256(s[MOST - 1 :]).digest()[0] & 63) + 1].tobytes()).decode())
-        out.append(f"{k[d]}:{both[0]}:{both[1]}")
+        out.append(f"{k[d]}:{signs[0][d]}:{signs[1][d]}")
     return out
 
 

@@ -439,6 +439,25 @@ def test_likeness_tells_edits_from_strangers(spark, data):
     assert fingerprints.distances(a, b).tolist() == [plain_distance(x, y) for x, y in zip(a, b, strict=True)]
 
 
+def test_repeats_leave_room_for_the_rest_of_a_text():
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(n))
+    of = lambda *t: fingerprints.fingerprints(np.frombuffer("".join(t).encode(), np.uint8), np.cumsum([0, *map(len, t)]))
+    block, tail = (prose(30)[:99] + "\n") * 250, prose(14_000)[:78_000]
+    a, b, c = of(block + tail, block + prose(14_000)[:78_000], block + tail[:40_000] + "changed" + tail[40_007:])
+    _, a0, a1 = a.split(":")
+    assert len(a0) > 20 and len(a1) > 10 and max(len(a0), len(a1)) <= fingerprints.MOST
+    other, edited = fingerprints.likeness([a, a], [b, c]).tolist()
+    assert other < 0.5 and 0.8 < edited < 1
+    shuffled = "".join(rng.permutation([x + "\n" for x in (prose(3) for _ in range(4_000))]))
+    many = fingerprints._signatures(kernels.mix(np.arange(1, 1001, dtype=np.uint64)), np.zeros(1000, np.int64), kernels.mix(np.arange(5, 1005, dtype=np.uint64)), 1)[0]
+    late = kernels.mix(np.arange(1, 1001, dtype=np.uint64))
+    late[900] += np.uint64(1)
+    moved = fingerprints._signatures(late, np.zeros(1000, np.int64), kernels.mix(np.arange(5, 1005, dtype=np.uint64)), 1)[0]
+    assert len(many) == fingerprints.MOST and sum(x != y for x, y in zip(many, moved, strict=True)) <= 1
+    assert len(of(shuffled)[0]) <= 2 * fingerprints.MOST + 5
+
+
 # 10 ---------------------------------------------------------------------------------------------------------------
 
 
