@@ -277,13 +277,13 @@ def lloyd_update(spark, sf_dir):
 
 @query()
 def kmeans_zones(spark, sf_dir):
-    return zoning.best_runs(zoning.fit(vectors(spark, sf_dir), [5], n_init=4)).select("k", "restart", "inertia", F.explode(F.arrays_zip("nodes", "labels")).alias("r")).select("k", "inertia", F.col("r.nodes").alias("node"), F.col("r.labels").alias("label"))
+    return zoning.best_runs(zoning.fit(vectors(spark, sf_dir), [5])).select("k", "restart", "inertia", F.explode(F.arrays_zip("nodes", "labels")).alias("r")).select("k", "inertia", F.col("r.nodes").alias("node"), F.col("r.labels").alias("label"))
 
 
 @query()
 def select_k(spark, sf_dir):
     """The number of zones by the elbow of seeded k-means inertias."""
-    return zoning.elbow(zoning.best_runs(zoning.fit(vectors(spark, sf_dir), list(range(2, 11)), n_init=2)).select("k", "inertia"))
+    return zoning.elbow(zoning.best_runs(zoning.fit(vectors(spark, sf_dir), list(range(2, 11)))).select("k", "inertia"))
 
 
 _INERTIA = "i AS (SELECT CAST(n_regionkey + 2 AS INTEGER) AS k, sum(n_nationkey) + 100.0 / (n_regionkey + 1) AS inertia FROM nation GROUP BY n_regionkey), j AS (SELECT k, inertia FROM i UNION ALL SELECT k + 5, inertia / 4 FROM i WHERE k < 6)"
@@ -383,7 +383,7 @@ def zone_summary(spark, sf_dir):
     ready = nodes.select(F.lit(1).alias("problem"), "node", "z", F.lit(1.0).alias("rho"))
     got = recovery.solve_groups(ready, links.select(F.lit(1).alias("problem"), "src", "dst", "omega", F.lit(s).alias("s")), ["problem"], LAMBDA, tol=1e-5, max_iters=2000)
     field = got.select("node", F.col("u").alias("z")).persist()
-    runs = zoning.best_runs(zoning.fit(field, [6], n_init=4))
+    runs = zoning.best_runs(zoning.fit(field, [6]))
     labels = runs.select(F.explode(F.arrays_zip("nodes", "labels")).alias("r")).select(F.col("r.nodes").alias("node"), F.col("r.labels").alias("zone"))
     pieces = metrics.fragments(links, labels.withColumnRenamed("zone", "label")).withColumnRenamed("label", "zone")
     return labels.join(nodes.select("node", "label"), "node").groupBy("zone").agg(F.count("*").alias("nodes"), F.countDistinct("label").alias("classes")).join(pieces, "zone").orderBy("zone")
