@@ -10,6 +10,10 @@ once.
 A round brings at most ``PROBES`` sums for each open splitter to the driver, however many rows there are. A hot
 text is no hot key: its rows are split by key. Only rows equal in text and key stay together.
 
+A row's slot is its rank in (hash, key) inside its shard, at every size. Rows are counted by cell (a hash; a text of
+more than a block's rows is cut by ranges of its keys), the counts are summed up inside blocks of the leading bits of
+the hash and then over the at most ``CELLS`` blocks, and each cell numbers its own rows.
+
 Defined results: the law is `bytes`; a row's size is its text's UTF-8 bytes (null: none) plus 1; with tolerance 0 each
 splitter is the cut nearest to its target. Null keys come first. An empty table gives no rows. Extra
 columns are kept unless they have the name of a result column.
@@ -28,8 +32,10 @@ from terrazone.llm import store
 SHARDS = 16
 PROBES = 4096
 HASH_BITS = 60
-#: Rows numbered by one task.
+#: Rows from which on a text's rows are numbered by several tasks, and least rows of a block of cells.
 BLOCK_ROWS = 200_000
+#: Bound of the texts of more rows than a block, and half of that of the blocks.
+CELLS = 8192
 _ABSENT = -(2**63)
 
 
@@ -117,20 +123,36 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     spark = docs.sparkSession
     scratch = store.Scratch(spark, "shards")
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    sizes = scratch.write(_sized(docs, key, text).select("_h", "_k", "size"), "sizes")
+    own = {c: f"own{k}" for k, c in enumerate(docs.columns)}  # names that meet none of the plan's
+    sized = _sized(docs.toDF(*own.values()), own[key], own[text])
+    sizes = scratch.write(sized.select("_h", "_k", "size"), "sizes")
     cuts = splitters(sizes, shards, tolerance)
     number = F.lit(0)
     for h, k in cuts:
         number = number + F.when((F.col("_h") > h) | ((F.col("_h") == h) & (F.col("_k") >= k)), 1).otherwise(0)
     n = sizes.count()
-    blocks = max(1, n // shards // block_rows)
-    block = F.pmod(F.xxhash64("_h", "_k"), F.lit(blocks)).cast("int")
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = sizes.groupBy(number.alias("shard"), block.alias("block")).agg(F.count("*").alias("n"))
-    counts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = _sized(docs, key, text).select(*[F.col(f"`{c}`") for c in keep], "_h", "_k", "size", F.crc32(t.cast("binary")).alias("text_crc32"), number.cast("int").alias("shard"), block.alias("block"))
-    within = F.row_number().over(Window.partitionBy("shard", "block").orderBy("_h", "_k")) - 1
-    placed = rows.withColumn("_n", within).join(F.broadcast(counts), ["shard", "block"]) if blocks * shards <= 100_000 else rows.withColumn("_n", within).join(counts, ["shard", "block"])
-    return placed.select(*[F.col(f"`{c}`") for c in keep], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("_n")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    per = max(block_rows, -(-n // CELLS))
+    # texts of more than `per` rows: fewer than CELLS, so the broadcast has a bound at every size
+    known = F.when(F.col("_k") != _ABSENT, F.col("_k"))
+    hot = sizes.groupBy("_h").agg(F.count("*").alias("n"), F.min(known).alias("a"), F.max(known).alias("b")).where(F.col("n") > per)
+    long = "decimal(20,0)"  # a difference of two keys may not fit a long
+    hot = hot.select("_h", F.col("a").cast(long).alias("_a"), F.ceil((F.col("b").cast(long) - F.col("a").cast(long) + 1) / F.ceil(F.col("n") / per)).cast(long).alias("_w"))
+    hot = scratch.write(hot, "hot")
+    cell = F.when(F.col("_a").isNull(), 0).when(F.col("_k") == _ABSENT, -1).otherwise(F.floor((F.col("_k").cast(long) - F.col("_a")) / F.col("_w"))).cast("long")
+    cells = sizes.join(F.broadcast(hot), "_h", "left").groupBy("_h", cell.alias("_c")).agg(F.count("*").alias("n"))
+    block = F.shiftright("_h", HASH_BITS - (n // per).bit_length()).cast("int")
+    cells = scratch.write(cells.withColumn("block", block), "cells")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = cells.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block")).alias("base"))
+    starts = cells.withColumn("start", before(Window.partitionBy("block").orderBy("_h", "_c"))).join(F.broadcast(bases), "block")
+    starts = starts.select("_h", "_c", (F.col("base") + F.col("start")).alias("start"))
+    counts = {r[0]: r[1] for r in sizes.groupBy(number.alias("shard")).agg(F.count("*")).collect()}
+    below = F.element_at(F.array(*[F.lit(sum(counts.get(i, 0) for i in range(j))).cast("long") for j in range(shards)]), F.col("shard") + 1)
+    t = F.coalesce(F.col(own[text]).cast("string"), F.lit(""))
+    kept = {c: own[c] for c in (docs.columns if keep is None else keep) if c not in made}
+    rows = sized.select(*kept.values(), "_h", "_k", "size", F.crc32(t.cast("binary")).alias("text_crc32"), number.cast("int").alias("shard"))
+    rows = rows.join(F.broadcast(hot), "_h", "left").withColumn("_c", cell)
+    within = F.row_number().over(Window.partitionBy("_h", "_c").orderBy("_k")) - 1
+    placed = rows.withColumn("_n", within).join(starts, ["_h", "_c"])
+    slot = (F.col("start") + F.col("_n") - below).cast("long")
+    return placed.select(*[F.col(o).alias(c) for c, o in kept.items()], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
