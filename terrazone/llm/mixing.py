@@ -9,7 +9,7 @@ A source's budget is its weight's part of all tokens to draw. Whole epochs take
 from a permutation of blocks of documents (by hash), and inside the block where the budget ends from a permutation
 of its documents. Both cuts are thresholds of a hash, one row for each source, so the documents themselves are
 selected where they are read and never shuffled. Sums over a hot source are combined before they are shuffled; a
-window sees one row for each thousand of its documents.
+window sees the sums of at most 4,096 bins of its blocks, and then the blocks of the one bin where the budget ends.
 
 Defined results: tokens are runs without ASCII white space. A null source is a source of its own. A source without
 tokens has weight 0 and no uses. Rows equal in key and source are drawn together. An empty table gives no rows.
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrazone.llm import store
-from terrazone.llm.sharding import hash60
+from terrazone.llm.sharding import HASH_BITS, hash60
 
 ENTROPY = 0.95
 REPEATS = 2.0
 BLOCK_DOCS = 1000
 SECTIONS, ROUNDS = 100, 6
+#: Bins of the order of a source's blocks that are summed up first.
+BIN_BITS = 12
 
 
 def tokens(text: Column) -> Column:
@@ -46,8 +48,10 @@ def exponent(sources: DataFrame, budget: int, total: int, entropy: float, repeat
     want = entropy * math.log(first.n)
 
     def sums(exponents: list[float]) -> list[tuple[float, float]]:
-        row = known.agg(*[x for a in exponents for x in (F.sum(F.pow("share", F.lit(a))), F.sum(F.pow("share", F.lit(a)) * F.log("share")))]).first()
-        return list(zip(row[::2], row[1::2], strict=True))
+        # the exponents are one array, so that every round runs the same compiled code
+        at = known.select("share", F.posexplode(F.array(*map(F.lit, exponents))).alias("i", "a"))
+        rows = at.groupBy("i").agg(F.sum(F.pow("share", "a")).alias("z"), F.sum(F.pow("share", "a") * F.log("share")).alias("y")).collect()
+        return [(r.z, r.y) for r in sorted(rows, key=lambda r: r.i)]
 
     def good(a: float, z: float, y: float) -> tuple[bool, bool]:
         """Enough entropy; not too many repeats."""
@@ -104,8 +108,13 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     known = shares.select("_source", "blocks", "rest")
     by_block = hashed(slim.join(known, "_source")).groupBy("_source", "_u").agg(F.sum("n_tokens").alias("s"), F.first("rest").alias("rest"))
-    so_far = F.sum("s").over(Window.partitionBy("_source").orderBy("_u"))
-    edge = by_block.withColumn("sum", so_far).where("sum > rest").groupBy("_source").agg(F.min_by(F.struct("_u", (F.col("rest") - F.col("sum") + F.col("s")).alias("left")), "_u").alias("e")).select("_source", F.col("e._u").alias("edge_u"), F.col("e.left").alias("left"))
+    # in two steps, so that no task orders all blocks of a source: sums of bins of the order first, then the bin with the edge
+    by_block = scratch.write(by_block.withColumn("bin", F.shiftright("_u", HASH_BITS - BIN_BITS).cast("int")), "blocks")
+    so_far = lambda order: F.sum("s").over(Window.partitionBy("_source").orderBy(order))
+    bins = by_block.groupBy("_source", "bin").agg(F.sum("s").alias("s"), F.first("rest").alias("rest")).withColumn("sum", so_far("bin"))
+    bins = bins.where("sum > rest").groupBy("_source").agg(F.min_by(F.struct("bin", (F.col("sum") - F.col("s")).alias("before")), "bin").alias("b")).select("_source", "b.*")
+    inside = by_block.join(bins, ["_source", "bin"]).withColumn("sum", F.col("before") + so_far("_u"))
+    edge = inside.where("sum > rest").groupBy("_source").agg(F.min_by(F.struct("_u", (F.col("rest") - F.col("sum") + F.col("s")).alias("left")), "_u").alias("e")).select("_source", F.col("e._u").alias("edge_u"), F.col("e.left").alias("left"))
     cut = known.join(edge, "_source")
     inner = hashed(slim.join(cut, "_source")).where("_u = edge_u")
     upto = inner.withColumn("sum", F.sum("n_tokens").over(Window.partitionBy("_source").orderBy("_v"))).where("sum <= left").groupBy("_source").agg(F.max("_v").alias("edge_v"))
