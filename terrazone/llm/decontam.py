@@ -2,10 +2,11 @@
 
 Words are maximal runs of letters, digits and non-ASCII characters after lower-casing A-Z. A window is 13
 consecutive words of an item, or the whole item where it has fewer. Windows are looked up by a 64-bit hash and
-each hit is verified word by word. One pass over the documents, no shuffle.
+each hit is verified byte by byte on the normalised words. One pass over the documents, no shuffle.
 
-The windows are gathered on the driver in blocks of at most ``block_bytes`` of benchmark text, which bounds every
-broadcast; a larger benchmark takes one pass for each block, with the marks so far kept in a written table.
+The windows are gathered on the driver in blocks of at most ``block_bytes`` of benchmark text (an item larger than
+that is a block of its own), as arrays of some 40 bytes a word, which bounds the driver and every broadcast; a larger
+benchmark takes one pass for each block, with the marks so far kept in a written table.
 
 Defined results: a null or empty text, or one without words, has no words, no hits and is not contaminated. An
 item without words has no window. Items of equal text are all reported. Repeated rows are judged one by one. An
@@ -15,55 +16,74 @@ length are scanned whole.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrazone.llm import frames, kernels, store
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 20
 
 
-def windows(items: list[tuple[int, str | None]], n: int = WINDOW) -> dict[int, dict[str, np.ndarray]]:
-    """For each length of window: their sorted hashes, the hashes of their words, and which items hold them."""
-    found: dict[int, dict[int, tuple[np.ndarray, set[int]]]] = {}
-    for item, text in items:
-        raw = (text or "").encode()
-        part = kernels.Texts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), lower=True)
-        starts, ends, _ = part.words(kernels.ALNUM)
-        if not len(starts):
-            continue
-        words, size = part.spans(starts, ends), min(n, len(starts))
-        for k, g in enumerate(kernels.grams(words, size).tolist()):
-            found.setdefault(size, {}).setdefault(g, (words[k : k + size], set()))[1].add(item)
-    out = {}
-    for size, by in found.items():
-        order = sorted(by)
-        held = [sorted(by[g][1]) for g in order]
+def _normalised(part: kernels.Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, a space after each, and where each word begins (n + 1)."""
+    size = ends - starts + 1
+    begin = np.concatenate([[0], np.cumsum(size)])
+    out = part.buf[kernels.ragged(starts, size)]
+    out[begin[1:] - 1] = 0x20
+    return out, begin
+
+
+def windows(items: list[tuple[int, str | None]], n: int = WINDOW) -> dict:
+    """The items' normalised words; for each length of window: the sorted hashes, a place of each, and which items hold it."""
+    raws = [(text or "").encode() for _, text in items]
+    part = kernels.Texts(np.frombuffer(b"".join(raws), dtype=np.uint8), np.cumsum([0, *map(len, raws)]), lower=True)
+    starts, ends, first = part.words(kernels.ALNUM)
+    words, count = part.spans(starts, ends), np.diff(first)
+    text, begin = _normalised(part, starts, ends)
+    ids = np.array([k for k, _ in items], dtype=np.int64)
+    out = {"text": text, "sizes": {}}
+    for size in np.unique(np.minimum(count[count > 0], n)).tolist():
+        own = np.flatnonzero(count >= n if size == n else count == size)
+        at = kernels.ragged(first[own], count[own] - size + 1)
+        h, item = kernels.grams(words, size)[at], np.repeat(ids[own], count[own] - size + 1)
+        order = np.lexsort((item, h))
+        h, item, at = h[order], item[order], at[order]
+        # windows of one hash are split by their bytes where two texts have it
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        if not _equal(text, begin[at], begin[at + size], text, begin[at[lead]], begin[at[lead] + size]).all():
+            raise ValueError("two windows of the benchmark share a 64-bit hash")
+        held = new | np.concatenate([[True], item[1:] != item[:-1]])
+        group = np.cumsum(new)[held] - 1
         bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        hashes = np.array(order, dtype=np.uint64)
-        bits[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-        out[size] = {
-            "hash": hashes, "bits": bits, "words": np.stack([by[g][0] for g in order]),
-            "first": np.cumsum([0, *map(len, held)]), "items": np.array([x for y in held for x in y], dtype=np.int64),
-        }
+        bits[h[new] >> np.uint64(64 - _FILTER_BITS)] = True
+        out["sizes"][size] = {"hash": h[new], "bits": bits, "a": begin[at[new]].astype(np.int32), "b": begin[at[new] + size].astype(np.int32), "first": np.searchsorted(group, np.arange(int(new.sum()) + 1)), "items": item[held]}
     return out
 
 
-def scan(tables: dict[int, dict[str, np.ndarray]], data: np.ndarray, off: np.ndarray) -> tuple[kernels.Texts, tuple, np.ndarray, list[set[int]]]:
+def _equal(x: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Whether the bytes x[a:b] and y[c:d] are the same, pair by pair, some megabytes at once."""
+    same = b - a == d - c
+    left = np.flatnonzero(same)
+    for part in np.array_split(left, max(1, int((b - a)[left].sum()) >> 22)):
+        size = (b - a)[part]
+        if len(part):
+            ends = np.cumsum(size)
+            same[part] = np.add.reduceat((x[kernels.ragged(a[part], size)] != y[kernels.ragged(c[part], size)]).astype(np.int32), ends - size) == 0
+    return same
+
+
+def scan(tables: dict, data: np.ndarray, off: np.ndarray) -> tuple[kernels.Texts, tuple, np.ndarray, list[set[int]]]:
     """The texts, their words, which words are hit, and each document's items."""
     part = kernels.Texts(data, off, lower=True)
     starts, ends, first = part.words(kernels.ALNUM)
-    words = part.spans(starts, ends)
+    words, text = part.spans(starts, ends), None
     cover = np.zeros(len(starts) + 1, dtype=np.int64)
     items: list[set[int]] = [set() for _ in range(part.n)]
-    for size, t in tables.items():
+    for size, t in tables["sizes"].items():
         g = kernels.grams(words, size)
         at = np.flatnonzero(t["bits"][g >> np.uint64(64 - _FILTER_BITS)])
         row = np.searchsorted(t["hash"], g[at])
@@ -73,7 +93,11 @@ def scan(tables: dict[int, dict[str, np.ndarray]], data: np.ndarray, off: np.nda
         doc = np.searchsorted(first, at, side="right") - 1
         inside = at + size <= first[doc + 1]
         at, row, doc = at[inside], row[inside], doc[inside]
-        real = (words[at[:, None] + np.arange(size)] == t["words"][row]).all(axis=1)
+        if not len(at):
+            continue
+        if text is None:
+            text, begin = _normalised(part, starts, ends)
+        real = _equal(text, begin[at], begin[at + size], tables["text"], t["a"][row], t["b"][row])
         at, row, doc = at[real], row[real], doc[real]
         np.add.at(cover, at, 1)
         np.add.at(cover, at + size, -1)
@@ -98,17 +122,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """
     spark = docs.sparkSession
     scratch = store.Scratch(spark, "decontam")
-    columns = docs.columns if keep is None else keep
+    made = ["n_words", "n_hit", "item_ids", "contaminated", *["clean_text"] * spans]
+    own = {c: f"own{k}" for k, c in enumerate(docs.columns)}  # names that meet none of the marks'
+    kept = {own[c]: c for c in (docs.columns if keep is None else keep) if c not in made}
+    now, source = docs.toDF(*own.values()), own[text]
     parts = blocks(benchmark, item, item_text, block_bytes)
-    now = docs
     for k, block in enumerate(parts):
         tables = spark.sparkContext.broadcast(windows([tuple(r) for r in block.collect()], n))
         last, before = k == len(parts) - 1, k > 0
-        carried = columns if last or text in columns else [*columns, text]  # later blocks read the text again
-        now = _pass(now, tables, text, [*carried, *(["_hit", "_items"] if before else [])], last, spans)
+        carried = [*kept] if last or source in kept else [*kept, source]  # later blocks read the text again
+        now = _pass(now, tables, source, [*carried, *(["_hit", "_items"] if before else [])], last, spans)
         if not last:
             now = scratch.write(now, f"pass{k}")
-    return now
+            scratch.drop(f"pass{k - 1}")
+    return now.toDF(*kept.values(), *made)
 
 
 def _pass(docs: DataFrame, tables, text: str, keep: list[str], last: bool, spans: bool) -> DataFrame:
