@@ -6,7 +6,8 @@ Two sets of likeness s meet in a table unless either collection agrees nowhere:
 missed with a probability of about 4e-4, at 0.9 of about 3e-7; at 0.03, as unrelated texts here, it meets with 1e-7.
 
 Nodes are distinct shingle sets, so exact copies are one node from the start, and a hot text is combined before any
-shuffle. Keys travel as packed arrays, one row for each map task and bucket of keys.
+shuffle. Keys travel as packed arrays, one row for each map task and bucket of keys; of many nodes of a task that share
+a key one goes to the bucket, so that a bucket holds a bounded part of a hot key.
 
 Candidates of a key are verified in two rounds, and a pair whose ends are already connected is not verified again,
 which cannot change a component:
@@ -42,6 +43,8 @@ MINOR_BLOCK, MAJOR_BLOCK = 256, 512
 #: Keys of a bucket, and keys that a task holds before it sends them.
 BUCKET_KEYS, SENT_KEYS = 1_000_000, 500_000
 MEMBERS = 64
+#: Nodes of a task with one key from which on a hub goes to the bucket for them; tasks over which the nodes of such a key are dealt.
+PIECE, SALTS = 32, 256
 _ABSENT = -(2**63)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,21 +94,36 @@ def sketch(data: np.ndarray, off: np.ndarray, n: int, atoms: int, depth: int) ->
 
 
 def _keys(nodes: DataFrame, atoms: int, buckets: int) -> DataFrame:
-    """bucket, keys, ids: the table keys of all nodes, packed for each task and bucket."""
+    """bucket, keys, ids, piece, hubs: the table keys of all nodes, packed for each task and bucket.
+
+    Where more than PIECE nodes of a task share a key, only one of them, marked as a hub, goes to the key's bucket. The
+    nodes themselves are a piece, a row of its own that any bucket may pass on: a hot key fills no bucket.
+    """
+
+    def packed(key: np.ndarray, node: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(key, kind="stable")
+        key, node, bucket = key[order], node[order], bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        alone, hub = np.ones(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+        pieces = []
+        for a, m in zip(first[size > PIECE].tolist(), size[size > PIECE].tolist(), strict=True):
+            own = node[a : a + m]
+            lead = _hub(own[None, :])[0]
+            alone[a : a + m], alone[a + lead], hub[a + lead] = False, True, True
+            # a task's pieces with the same hub go to one bucket, which makes their pairs once
+            pieces.append((int(kernels.mix(own[lead : lead + 1].view(np.uint64))[0] % np.uint64(buckets)), key[a : a + 1].tobytes(), own.tobytes()))
+        key, node, bucket, hub = key[alone], node[alone], bucket[alone], hub[alone]
+        order = np.argsort(bucket, kind="stable")
+        key, node, bucket, hub = key[order], node[order], bucket[order], hub[order]
+        full = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        cut = lambda x: [x[i:j].tobytes() for i, j in zip(full, np.append(full[1:], len(bucket)), strict=True)]
+        rows = [bucket[full].tolist() + [p[0] for p in pieces], cut(key) + [p[1] for p in pieces], cut(node) + [p[2] for p in pieces], [False] * len(full) + [True] * len(pieces), cut(hub) + [None] * len(pieces)]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "keys", "ids", "piece", "hubs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
-
-        def flush() -> pa.RecordBatch:
-            key, node, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(bucket, kind="stable")
-            key, node, bucket = key[order], node[order], bucket[order]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            full = [b for b in range(buckets) if edge[b] < edge[b + 1]]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([key[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()), pa.array([node[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "keys", "ids"])
-
         for batch in batches:
             data, off = kernels.flat(batch.column(1))
             m = batch.num_rows
@@ -120,33 +138,44 @@ def _keys(nodes: DataFrame, atoms: int, buckets: int) -> DataFrame:
                 held.append((key.ravel(), np.repeat(node, atoms), np.repeat(bucket, atoms)))
             size += m * atoms * atoms
             if size > SENT_KEYS:
-                yield flush()
-                size = 0
+                yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
         if held:
-            yield flush()
+            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return nodes.select("f", "atoms").mapInArrow(run, "bucket int, keys binary, ids binary")
+    return nodes.select("f", "atoms").mapInArrow(run, "bucket int, keys binary, ids binary, piece boolean, hubs binary")
 
 
-def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys that several nodes share, their nodes one after another, and each key's first (n + 1)."""
-    key = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
-    node = np.concatenate([np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()])
+def _hub(members: np.ndarray) -> np.ndarray:
+    """Of each row the member that comes first in an order that all keys share, so that hubs are few."""
+    return kernels.mix(members.view(np.uint64)).argmin(axis=1)
+
+
+def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys that several nodes share, their nodes one after another, each key's first (n + 1), and whether one is a hub."""
+    key, node, hub = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()] or [np.zeros(0, kind)]) for c, kind in (("keys", np.uint64), ("ids", np.int64), ("hubs", np.bool_)))
     order = np.argsort(key, kind="stable")
-    key, node = key[order], node[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, node, hub = key[order], node[order], hub[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(key)))
     many = size > 1
-    return key[first[many]], node[kernels.ragged(first[many], size[many])], np.cumsum([0, *size[many]])
+    hot = np.logical_or.reduceat(hub, first)[many] if len(first) else np.zeros(0, bool)
+    return key[first[many]], node[kernels.ragged(first[many], size[many])], np.cumsum([0, *size[many]]), hot
 
 
 def _candidates(keyed: DataFrame, small: int) -> DataFrame:
-    """Rows of two kinds: pairs (a < b), and larger groups (key, ids)."""
+    """Rows of two kinds: pairs (a < b), and larger groups (key, ids), of which several may have the same key."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, node, first = _groups(table)
+        piece = table["piece"].to_numpy(zero_copy_only=False).astype(bool)
+        key, node, first, hot = _groups(table.filter(pa.array(~piece)))
         size = np.diff(first)
         left, right = [], []
+
+        def star(members: np.ndarray) -> None:
+            left.append(np.repeat(members[np.arange(len(members)), _hub(members)], members.shape[1]))
+            right.append(members.ravel())
+
         for s in np.unique(size):
             rows = np.flatnonzero(size == s)
             members = node[first[rows][:, None] + np.arange(s)]
@@ -154,22 +183,23 @@ def _candidates(keyed: DataFrame, small: int) -> DataFrame:
                 i, j = np.triu_indices(s, 1)
                 left.append(members[:, i].ravel())
                 right.append(members[:, j].ravel())
-            else:  # a star around the member that comes first in an order that all keys share, so that hubs are few
-                own = kernels.mix(members.view(np.uint64)).argmin(axis=1)
-                hub = np.repeat(members[np.arange(len(rows)), own], s)
-                left.append(hub)
-                right.append(members.ravel())
+            else:
+                star(members)
+        passed = table.filter(pa.array(piece))
+        groups = [(int(np.frombuffer(k, np.int64)[0]), x) for k, x in zip(passed["keys"].to_pylist(), passed["ids"].to_pylist(), strict=True)]
+        for _, x in groups:
+            star(np.frombuffer(x, np.int64)[None, :])
+        # a hub stands for its piece, so what it meets is set against the piece's nodes as well
+        groups += [(int(key[g : g + 1].view(np.int64)[0]), node[first[g] : first[g + 1]].tobytes()) for g in np.flatnonzero((size > small) | hot).tolist()]
         a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right))
         a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        large = np.flatnonzero(size > small)
-        ids = [node[first[g] : first[g + 1]].tobytes() for g in large]
         none = len(new)
         return pa.table({
-            "a": pa.array(np.concatenate([a[new], key[large].view(np.int64)])), "b": pa.array(np.concatenate([b[new], np.zeros(len(large), np.int64)])),
-            "ids": pa.array([None] * none + ids, pa.binary()),
+            "a": pa.array(np.concatenate([a[new], np.array([k for k, _ in groups], dtype=np.int64)])), "b": pa.array(np.concatenate([b[new], np.zeros(len(groups), np.int64)])),
+            "ids": pa.array([None] * none + [x for _, x in groups], pa.binary()),
         })
 
     return keyed.groupBy("bucket").applyInArrow(run, "a long, b long, ids binary")
@@ -218,10 +248,12 @@ def _across(groups: DataFrame, labels: DataFrame, texts: DataFrame, n: int, perc
     Components that meet in a group form a cluster. In each, the nodes outside its largest component are set against
     all its nodes, block by block: a text is sent once for each block that it meets, not once for each pair.
     """
-    members = groups.select(F.col("a").alias("key"), "ids").mapInArrow(_unpack, "key long, f long")
-    named = members.join(labels, members.f == labels.id, "left").select("key", "f", F.coalesce("root", "f").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "x")
-    held = scratch.write(named.join(mixed, "key").select("x", "root", "f").distinct(), "mixed")
+    members = groups.select(F.col("a").alias("key"), "ids").mapInArrow(_unpack, "key long, f long, salts int")
+    named = members.join(labels, members.f == labels.id, "left").select("key", "f", "salts", F.coalesce("root", "f").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("salts").alias("salts")).where("x <> y")
+    mixed = mixed.select("key", "x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("f"), F.col("salts")).cast("int"))  # the nodes of a large group go to many tasks
+    held = scratch.write(salted.join(mixed, ["key", "salt"]).select("x", "root", "f").distinct(), "mixed")
     met = components(held.select("x", "root").distinct(), "x", "root", scratch, "cc-mixed").select(F.col("id").alias("root"), F.col("root").alias("cluster"))
     nodes = held.select("root", "f").distinct().join(met, "root", "left").select(F.coalesce("cluster", "root").alias("cluster"), "root", "f")
     sizes = nodes.groupBy("cluster", "root").agg(F.count("*").alias("m"))
@@ -276,7 +308,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             f = np.frombuffer(ids, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), key)), pa.array(f)], names=["key", "f"])
+            salts = np.full(len(f), SALTS if len(f) > PIECE else 1, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), key)), pa.array(f), pa.array(salts)], names=["key", "f", "salts"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT, atoms: int = ATOMS, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
@@ -318,5 +351,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents that are kept, one of each component; rows that share a key stay or go together."""
-    kept = near_duplicates(docs, key, text, **how).where("kept").select(F.col(key).alias("_kept"))
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    own = {c: f"own{k}" for k, c in enumerate(docs.columns)}  # names that meet none of the result's
+    rows = docs.toDF(*own.values())
+    kept = near_duplicates(rows, own[key], own[text], **how).where("kept").select(F.col(own[key]).alias("kept_key"))
+    return rows.join(kept, F.col(own[key]).eqNullSafe(F.col("kept_key")), "left_semi").toDF(*docs.columns)
