@@ -12,8 +12,8 @@ Labelled rows are sampled: at most ``most`` of them, those with the smallest has
 all rows; scoring is one pass without a shuffle.
 
 Defined results: null and empty texts are scored as texts without a byte. Several labels of one document: the
-largest. With labels of one kind only, or none, every score is 0.5. Repeated rows are scored alike. Extra columns
-are ignored. Texts are read whole.
+largest. Documents that share a key count once in training, by the least text. With labels of one kind only, or none,
+every score is 0.5. Repeated rows are scored alike. Extra columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -100,12 +100,14 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", label: str = "quality", text: str = "text", most: int = MOST_LABELS) -> dict:
     """The model from at most `most` labelled documents."""
-    some = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("_doc")).agg(F.max(label).alias("_y")).orderBy(F.xxhash64("_doc"), "_doc").limit(most)
-    held = docs.join(F.broadcast(some), F.col(doc) == F.col("_doc")).select("_doc", "_y", F.col(text).alias("text"))
-    rows = frames.enrich(held, lambda: lambda data, off: {"x": list(features(data, off).astype(np.float32))}, "x array<float>", keep=["_doc", "_y"]).toPandas().sort_values("_doc", kind="stable")
+    some = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).cast("long").alias("d")).agg(F.max(label).alias("y")).orderBy(F.xxhash64("d"), "d").limit(most)
+    held = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).cast("string").alias("t"))
+    # rows that share a key count once, by the text that comes first
+    held = held.join(F.broadcast(some), "d").groupBy("d", "y").agg(F.min(F.coalesce("t", F.lit(""))).alias("t"))
+    rows = frames.enrich(held, lambda: lambda data, off: {"x": list(features(data, off).astype(np.float32))}, "x array<float>", text="t", keep=["d", "y"]).toPandas().sort_values("d", kind="stable")
     if not len(rows):
         return fit(np.zeros((0, WIDTH)), np.zeros(0))
-    return fit(np.stack(rows["x"].to_numpy()).astype(float), rows["_y"].to_numpy())
+    return fit(np.stack(rows["x"].to_numpy()).astype(float), rows["y"].to_numpy())
 
 
 def rate(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ ROWS = [
     (8, "line one is here to stay\nline two is here to stay\nline one is here to stay\n\nshort", "en", "a"),
     (None, "no key at all but some words in it", "en", "a"),
 ]
-CLASH = "n_words long, n_hit long, score double, predicted int, shard int, slot long, size long, n_tokens long, n_uses int, c0 string, t string, fingerprint string, lang_pred string, weight double, alpha double"
+CLASH = "n_words long, n_hit long, score double, predicted int, shard int, slot long, size long, n_tokens long, n_uses int, c0 string, t string, fingerprint string, lang_pred string, weight double, alpha double, _doc long, block long, _kept boolean, _hit string, _items string, _text string, _bytes string, _h long, _k long, _c string, _label string, k long, g long, f long, h long, b string, b0 long, line long, root long, source_ string, own0 string, held string, item string, _n long, start long, chunk int, key long"
 
 
 @pytest.fixture(scope="module")
@@ -172,13 +172,28 @@ def test_near_duplicates(spark, odd, empty, n):
             words[rng.integers(0, len(words))] = f"x{rng.integers(0, 10**6)}"
         made.append((1000 + i, " ".join(words)))
     rows = odd.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
-    got = minhash.near_duplicates(rows, n=n, small=2)
+    with pytest.MonkeyPatch.context() as patch:  # 4: keys of many nodes leave hubs for their pieces, in several rounds of a task
+        patch.setattr(minhash, "PIECE", 3 if n == 4 else minhash.PIECE)
+        patch.setattr(minhash, "SENT_KEYS", 2_000 if n == 4 else minhash.SENT_KEYS)
+        patch.setattr(store, "BATCH_ROWS", 20)
+        got = minhash.near_duplicates(rows, n=n, small=2)
     assert sorted([tuple(r) for r in got.collect()], key=str) == plain_components(docs(rows), n, 80)
     assert minhash.near_duplicates(empty).count() == 0
     kept = minhash.deduplicate(odd, n=n)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in minhash.near_duplicates(odd, n=n).where("kept").collect()}
 
 
+def test_hot_keys_fill_no_bucket(spark):
+    """Of 3,000 nodes that share every key a bucket gets a hub for each round of a task; candidates reach all of them."""
+    same_atoms = np.arange(24, dtype=np.uint64).tobytes()
+    nodes = spark.createDataFrame([(i * 7919 + 1, bytearray(same_atoms)) for i in range(3_000)], "f long, atoms binary").repartition(6)
+    keyed = minhash._keys(nodes, 12, 8)
+    assert keyed.where("not piece").agg(F.sum(F.length("ids") / 8)).first()[0] <= 6 * 144
+    met = minhash._candidates(keyed, minhash.SMALL)
+    ends = met.where("ids is null").select(F.explode(F.array("a", "b")).alias("f"))
+    assert ends.distinct().count() == 3_000 and met.where("ids is null").count() < 5 * 3_000
+
+
 def test_components_in_many_tasks(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 460)]
@@ -341,6 +356,10 @@ def test_shards(spark, data, odd, empty):
     copies = spark.createDataFrame([(i, "same text") for i in range(-400, 400)] + [(i, f"other {i}") for i in range(1000, 1100)], "doc_id long, text string")
     hot = sharding.shard(copies, block_rows=10).toPandas()
     assert hot.groupby("shard")["size"].sum().agg(["min", "max"]).diff().iloc[1] <= 20 and (hot.groupby("shard")["slot"].max() + 1 == hot.groupby("shard").size()).all()
+    # the slot is the rank in (hash, key) at every size of block
+    few = sharding.shard(copies.union(spark.createDataFrame([(None, "same text"), (2**62, "same text"), (-(2**62), "other 1000")], copies.schema)), block_rows=5).toPandas()
+    order = few.assign(m=[hashlib.md5(t.encode()).hexdigest()[:15] for t in few["text"]], doc_id=few["doc_id"].fillna(-(2**63)).astype(object)).sort_values(["m", "doc_id"])
+    assert (order.groupby("shard").cumcount() == order["slot"]).all() and order["shard"].is_monotonic_increasing
     o = sharding.shard(odd)
     assert o.count() == len(ROWS) and set(o.columns) == {*odd.columns, "text_crc32", "law", "grown_shard"}
     assert {r["size"] for r in o.where("text is null or text = ''").collect()} == {1}
@@ -365,6 +384,12 @@ def test_mixing(spark, odd, empty):
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns and mixed.where("doc_id = 1").isEmpty()
     assert mixing.uses(odd).count() == len(ROWS) and mixing.uses(empty).count() == 0 and mixing.mix(empty).count() == 0
+    with pytest.MonkeyPatch.context() as patch:  # one bin for all blocks: a single window, as the definition has it
+        found = []
+        for bits in (0, 3):
+            patch.setattr(mixing, "BIN_BITS", bits)
+            found.append(mixing.uses(rows, keep=["doc_id"], block_docs=5, entropy=0.9).toPandas())
+        assert same(*found)
     natural = mixing.uses(rows, entropy=0.0).toPandas()
     assert set(natural["n_uses"]) == {1}
 
@@ -391,6 +416,20 @@ def plain_hits(rows, items, n=13):
     return sorted(out, key=str)
 
 
+def test_benchmark_tables_are_arrays():
+    items = [(k, " ".join(f"w{j % 97}" for j in range(k, k + 40))) for k in range(30)] + [(1, "w1 w2"), (2, "w1  W2")]
+    found = decontam.windows(items)
+    assert set(found["sizes"]) == {2, 13}
+    for size, t in found["sizes"].items():
+        want = defaultdict(set)
+        for k, x in items:
+            w = x.lower().split()
+            for i in range(len(w) - size + 1 if min(13, len(w)) == size else 0):
+                want[" ".join(w[i : i + size]) + " "].add(k)
+        got = {found["text"][a:b].tobytes().decode(): set(t["items"][i:j].tolist()) for a, b, i, j in zip(t["a"], t["b"], t["first"][:-1], t["first"][1:], strict=True)}
+        assert got == want and (np.diff(t["hash"].view(np.int64).astype(object) % 2**64) > 0).all()
+
+
 @pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 120])
 def test_decontamination(spark, odd, empty, block):
     items = [(1, "Quick brown fox"), (20, "JUMPS over, the lazy dog -- near the old river bank at dawn. Extra words that differ"), (3, None), (100, "..."), (4, "don"), (7, "quick brown FOX")]
