@@ -150,3 +150,79 @@ def accept_graph(spark: SparkSession, graph: Mapping | str, cutoff: str, stage:
     if not (r.loads and r.composites and r.masks and r.masked_composites) or r.open_extents or r.late_extents or r.unfiltered or r.unmasked:
         raise LeakageError(f"the process graph does not prove a causal, masked composite: {r.asDict()}")
     return Audit(stage, "optical process graph", cutoff, r.checked)
+
+
+def optical_source(spark: SparkSession, source: Mapping, cutoff: str, stage: str = "train") -> Audit:
+    """Proof that no scene of an optical source is later than the cutoff: the scenes' own times, one for each id, or a
+    backend's process graph with its job."""
+    if not source.get("provenance_complete"):
+        raise LeakageError("the composites come without the ids and times of their scenes")
+    times, ids = source.get("acquisition_times") or [], source.get("acquisition_ids") or []
+    if not times and source.get("process_graph") is not None:
+        if not source.get("job_id"):
+            raise LeakageError("the process graph comes without a job")
+        return accept_graph(spark, source["process_graph"], cutoff, stage)
+    if not times or len(times) != len(ids):
+        raise LeakageError("scenes need a time for each id")
+    rows = spark.createDataFrame([(str(t),) for t in times], "t string").select(F.to_timestamp("t").alias("t"))
+    return require(times_audit(rows, F.coalesce(F.col("t"), F.to_timestamp(F.lit("9999-12-31"))), F.to_timestamp(F.lit(cutoff))), stage, "optical scenes", cutoff)
+
+
+def inventory_audit(used: bool, purpose: str) -> None:
+    """An inventory may judge zones, never make or choose them."""
+    if purpose not in ("evaluation", "model_construction", "selection"):
+        raise ValueError(f"unknown purpose {purpose}")
+    if used and purpose != "evaluation":
+        raise LeakageError(f"an inventory may not be used for {purpose}")
+
+
+def inventory_uses(uses: DataFrame) -> DataFrame:
+    """Adds allowed to rows (used, purpose): the same rule as `inventory_audit`."""
+    return uses.withColumn("allowed", ~F.col("used") | (F.col("purpose") == "evaluation"))
+
+
+def with_values(obs: DataFrame, values: DataFrame) -> DataFrame:
+    """The observations (node, e, valid, value) with other values (node, e, value), all else and the validity as it was;
+    a cell without a new value has none."""
+    return obs.drop("value").join(values.select("node", "e", "value"), ["node", "e"], "left").select(*obs.columns)
+
+
+def ordered(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """The rows of the listed keys in the list's order, as `position`; a listed key without a row is an error."""
+    listed = rows.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names)], f"{key} {rows.schema[key].dataType.simpleString()}, position int")
+    met = F.broadcast(listed).join(rows.withColumn("_in", F.lit(True)), key, "left")
+    checked = F.when(F.col("_in"), F.col("position")).otherwise(F.raise_error(F.lit("a listed key has no row")).cast("int"))
+    return met.withColumn("position", checked).drop("_in").orderBy("position")
+
+
+def repeats(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row: rows, distinct keys, keys that occur more than once, rows with a null in the key."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    by = rows.withColumn("_null", null).groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or("_null").alias("_null"))
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_keys"), F.count_if(F.col("n") > 1).alias("repeated"), F.coalesce(F.sum(F.when(F.col("_null"), F.col("n"))), F.lit(0)).alias("n_null"))
+
+
+def solver_inputs(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """One row of counts that must all be 0 before a solver sees its inputs. nodes: node, z, rho; links: src, dst, omega."""
+    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    width = nodes.agg(F.max(F.size("z")).alias("_d"))
+    own = nodes.crossJoin(F.broadcast(width)).agg(
+        F.count_if(F.col("z").isNull() | (F.size("z") != F.col("_d")) | (F.size("z") < 1) | F.exists("z", odd)).alias("bad_values"),
+        F.count_if(odd(F.col("rho")) | (F.col("rho") <= 0)).alias("bad_fidelity"),
+    )
+    known = nodes.select(F.col("node").alias("k")).distinct()
+    ends = links.select(F.explode(F.array("src", "dst")).alias("k"))
+    loose = ends.join(known, "k", "left_anti").agg(F.count("*").alias("unknown_ends"))
+    edges = links.agg(F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(odd(F.col("omega")) | (F.col("omega") < 0)).alias("bad_weights"))
+    return own.crossJoin(loose).crossJoin(edges)
+
+
+#: Records that a site's tables must come with (fixed values).
+SITE_RECORDS = ["deformation_observable", "sign_convention", "source_product", "provenance", "quality_metadata_audit", "terrain_provenance", "inventory_audit", "optical_audit"]
+
+
+def site_records(records: Mapping) -> None:
+    if missing := sorted(set(SITE_RECORDS) - set(records)):
+        raise ValueError(f"the site lacks the records {missing}")

@@ -11,6 +11,10 @@ from terrazone.operators.graph import components, gather
 from terrazone.operators.timeaxis import rebased
 
 
+#: Ranges of the order of scores that average precision sums up first.
+SCORE_CELLS = 4096
+
+
 def dispersion(panel: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: the mean absolute distance of test values, less their node's first, from their zone's median curve.
 
@@ -51,9 +55,17 @@ def rand_index(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def average_precision(rows: DataFrame, positive: str, score: str) -> DataFrame:
     """One row: area under precision and recall, one point for each distinct score; 0 without a positive."""
-    by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("tp"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    upto = by.select(F.col("s"), "tp", F.sum("tp").over(w).alias("ctp"), F.sum("n").over(w).alias("cn"))
+    # scores are summed up inside ranges of their order first, so that no task sees all of them
+    by = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("tp"), F.count("*").alias("n"))
+    ends = by.agg(F.min("s").alias("_a"), F.max("s").alias("_b"))
+    cell = F.least(F.lit(SCORE_CELLS - 1), F.floor((F.col("_b") - F.col("s")) / F.when(F.col("_b") > F.col("_a"), F.col("_b") - F.col("_a")).otherwise(1.0) * SCORE_CELLS)).cast("int")
+    by = by.crossJoin(F.broadcast(ends)).select("s", "tp", "n", F.coalesce(cell, F.lit(SCORE_CELLS)).alias("cell"))
+    above = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = by.groupBy("cell").agg(F.sum("tp").alias("ctp0"), F.sum("n").alias("cn0"))
+    cells = cells.select("cell", F.coalesce(F.sum("ctp0").over(above), F.lit(0)).alias("ctp0"), F.coalesce(F.sum("cn0").over(above), F.lit(0)).alias("cn0"))
+    w = Window.partitionBy("cell").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = by.withColumns({"ctp": F.sum("tp").over(w), "cn": F.sum("n").over(w)}).join(F.broadcast(cells), "cell")
+    upto = upto.select("s", "tp", (F.col("ctp") + F.col("ctp0")).alias("ctp"), (F.col("cn") + F.col("cn0")).alias("cn"))
     total = rows.agg(F.sum(F.col(positive).cast("long")).alias("p"))
     area = F.sum(F.try_divide(F.col("tp"), F.col("p")) * F.col("ctp") / F.col("cn"))
     return upto.crossJoin(F.broadcast(total)).agg(F.coalesce(F.when(F.max("p") > 0, area), F.lit(0.0)).alias("auprc"))
@@ -68,6 +80,24 @@ def boundary_precision(links: DataFrame, nodes: DataFrame, s: float) -> DataFram
     return average_precision(scored, "edge", "score")
 
 
+def separability(nodes: DataFrame, dim: int) -> DataFrame:
+    """One row: the least distance of the centroids of neighbouring labels over the root mean square about them. nodes:
+    z, label (0, 1, ... in order)."""
+    means = nodes.groupBy("label").agg(F.array(*[F.avg(F.col("z")[k]) for k in range(dim)]).alias("c"))
+    gaps = means.alias("a").join(means.alias("b"), F.col("b.label") == F.col("a.label") + 1)
+    d = minus(F.col("a.c"), F.col("b.c"))
+    least = gaps.agg(F.min(F.sqrt(dot(d, d))).alias("gap"))
+    off = minus(F.col("z"), F.col("c"))
+    spread = nodes.join(F.broadcast(means), "label").agg(F.sqrt(F.avg(dot(off, off))).alias("spread"))
+    return least.crossJoin(spread).select((F.col("gap") / F.greatest("spread", F.lit(1e-12))).alias("separability"))
+
+
+def boundary_counts(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: edges, and those whose ends differ in label."""
+    both = gather(links.select("src", "dst"), labels, "label")
+    return both.agg(F.count("*").alias("edges"), F.count_if(F.col("label_s") != F.col("label_t")).alias("boundary_edges"))
+
+
 def summary(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """keys, n, mean, std (sample), median and a 95 % interval of the mean. Null keys form groups."""
     v, half = F.col(value), 1.96 * F.stddev_samp(value) / F.sqrt(F.count(value))

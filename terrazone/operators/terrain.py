@@ -67,9 +67,22 @@ def sample(points: DataFrame, raster: DataFrame, x0: float, y0: float, dx: float
 
 
 def nearest_axis(points: DataFrame, axis: DataFrame, value: str, at: str, name: str) -> DataFrame:
-    """Adds the axis value nearest to each point's, ties to the lower. axis: one row for each grid line, so broadcast."""
-    met = points.crossJoin(F.broadcast(axis.select(F.col(at).alias(name))))
-    return met.groupBy(*points.columns).agg(F.min_by(name, F.struct(F.abs(F.col(name) - F.col(value)), F.col(name))).alias(name))
+    """Adds the axis value nearest to each point's, ties to the lower.
+
+    The distinct axis values, sorted, are one array beside each point, searched by halving: a look-up costs the
+    logarithm of the axis. A grid line is one row of the axis; the array is as long as one side of one grid.
+    """
+    lines = axis.select(F.col(at).cast("double").alias("v")).where("v is not null").agg(F.array_sort(F.collect_set("v")).alias("_axis"))
+    met = points.crossJoin(F.broadcast(lines))  # one row
+    halved = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size("_axis") + F.lit(1))).cast("int"))), F.struct(F.lit(0).alias("lo"), F.size("_axis").alias("hi")),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(F.col("_axis"), F.shiftright(s["lo"] + s["hi"], 1)) < F.col(value), F.struct((F.shiftright(s["lo"] + s["hi"], 1) + 1).alias("lo"), s["hi"].alias("hi")))
+        .otherwise(F.struct(s["lo"].alias("lo"), F.shiftright(s["lo"] + s["hi"], 1).alias("hi"))),
+    )["lo"]
+    met = met.withColumn("_at", halved)
+    low, high = F.get("_axis", F.col("_at") - 1), F.get("_axis", F.col("_at"))
+    near = F.when(low.isNull(), high).when(high.isNull(), low).when(F.col(value) - low <= high - F.col(value), low).otherwise(high)
+    return met.withColumn(name, near.cast(axis.schema[at].dataType)).drop("_axis", "_at")
 
 
 def inside(points: DataFrame, polygon: list[tuple[float, float]], buffer: float = 0.0) -> DataFrame:
@@ -111,3 +124,50 @@ def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
         east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500_000 + k0 * radius * east, k0 * radius * north
+
+
+def laea_europe(east: Column, north: Column) -> tuple[Column, Column]:
+    """Longitude and latitude on GRS 80 of the European equal-area grid (EPSG:3035; Snyder 1987, section 24)."""
+    a, f, lon0, lat0, fe, fn = 6378137.0, 1 / 298.257222101, 10.0, math.radians(52.0), 4_321_000.0, 3_210_000.0
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+
+    def area(s: float) -> float:
+        return (1 - e2) * (s / (1 - e2 * s * s) + math.atanh(e * s) / e)
+
+    polar = area(1.0)
+    beta0, radius = math.asin(area(math.sin(lat0)) / polar), a * math.sqrt(polar / 2)
+    d = a * math.cos(lat0) / math.sqrt(1 - e2 * math.sin(lat0) ** 2) / (radius * math.cos(beta0))
+    x, y = (east - fe) / d, (north - fn) * d
+    rho = F.hypot(x, y)
+    c = 2 * F.asin(rho / (2 * radius))
+    beta = F.asin(F.cos(c) * math.sin(beta0) + F.when(rho > 0, y * F.sin(c) * math.cos(beta0) / rho).otherwise(0.0))
+    lon = F.atan2(x * F.sin(c), rho * math.cos(beta0) * F.cos(c) - y * math.sin(beta0) * F.sin(c))
+    lat = (
+        beta + (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040) * F.sin(2 * beta)
+        + (23 * e2**2 / 360 + 251 * e2**3 / 3780) * F.sin(4 * beta) + 761 * e2**3 / 45360 * F.sin(6 * beta)
+    )
+    for _ in range(2):  # the series is right to millimetres; Newton's steps on the authalic area settle the rest
+        sine = F.sin(lat)
+        flat = 1 - e2 * sine * sine
+        lat = lat + flat * flat / (2 * F.cos(lat)) * (polar * F.sin(beta) / (1 - e2) - sine / flat - F.atanh(e * sine) / e)
+    return F.when(rho > 0, lon0 + F.degrees(lon)).otherwise(F.lit(lon0)), F.degrees(lat)
+
+
+def utm_inverse(east: Column, north: Column, zone: int) -> tuple[Column, Column]:
+    """Longitude and latitude on WGS 84 of a place in a northern UTM zone (Krueger series)."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi0, eta0 = north / (k0 * radius), (east - 500_000) / (k0 * radius)
+    xi, eta = xi0, eta0
+    for j, c in enumerate(beta, 1):
+        xi = xi - c * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - c * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (6 * zone - 183), F.degrees(lat)

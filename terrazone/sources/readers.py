@@ -35,7 +35,19 @@ class WideFormat:
 #: Layouts of published point tables (fixed values).
 OFFIDA = WideFormat(",", "pid", ("latitude", "longitude", "rmse", "temporal_coherence", "amplitude_dispersion", "mean_velocity_std"), r"^(\d{8})$", "yyyyMMdd")
 MENDATICA = WideFormat(";", "pid", ("easting", "northing", "coherence", "vel_std"), r"^D(\d{8})$", "ddMMyyyy", "2015-07-04", "2019-12-25")
-ZHOUQU = WideFormat(",", "pid", ("x", "y", "Coherence"), r"^D_(\d{8})$", "yyyyMMdd", None, "2020-02-16")
+ZHOUQU = WideFormat(",", "pid", ("x", "y", "Coherence"), r"^D_(\d{8})$", "yyyyMMdd", "2015-07-04", "2020-02-16")
+
+
+def header_dates(names: list[str], layout: WideFormat, value_scope: str = "all") -> dict[str, pd.Timestamp]:
+    """Date columns inside the layout's window by time; with train_only those of the training period."""
+    if value_scope not in ("all", "train_only"):
+        raise ValueError("value_scope is all or train_only")
+    python = layout.date_format.replace("yyyy", "%Y").replace("MM", "%m").replace("dd", "%d")
+    dates = {n: pd.to_datetime(m[1], format=python) for n in names if (m := re.match(layout.date_columns, n))}
+    low, high = (pd.Timestamp(x) if x else None for x in (layout.first_day, layout.last_day))
+    dates = {n: d for n, d in dates.items() if (low is None or d >= low) and (high is None or d <= high)}
+    kept = sorted(dates, key=dates.get)
+    return {n: dates[n] for n in (kept[: int(np.floor(FRACTIONS[0] * len(kept)))] if value_scope == "train_only" else kept)}
 
 
 def read_wide(spark: SparkSession, path: str, layout: WideFormat, value_scope: str = "all") -> tuple[DataFrame, DataFrame]:
@@ -44,19 +56,12 @@ def read_wide(spark: SparkSession, path: str, layout: WideFormat, value_scope: s
     Only the header is read to plan; columns outside the window, or beyond the training period where value_scope is
     train_only, are pruned from the scan.
     """
-    if value_scope not in ("all", "train_only"):
-        raise ValueError("value_scope is all or train_only")
     head = spark.read.text(path).limit(1).first()
     if head is None:
         raise ValueError("the table has no header")
     names = next(iter(pd.read_csv(io.StringIO(head[0]), sep=layout.separator).columns.to_frame().T.values.tolist()))
-    python = layout.date_format.replace("yyyy", "%Y").replace("MM", "%m").replace("dd", "%d")
-    dates = {n: pd.to_datetime(m[1], format=python) for n in names if (m := re.match(layout.date_columns, n))}
-    low, high = (pd.Timestamp(x) if x else None for x in (layout.first_day, layout.last_day))
-    dates = {n: d for n, d in dates.items() if (low is None or d >= low) and (high is None or d <= high)}
-    kept = sorted(dates, key=dates.get)
-    if value_scope == "train_only":
-        kept = kept[: int(np.floor(FRACTIONS[0] * len(kept)))]
+    dates = header_dates(names, layout, value_scope)
+    kept = list(dates)
     schema = StructType([StructField(n, StringType()) for n in names])
     rows = spark.read.schema(schema).option("header", True).option("sep", layout.separator).csv(path)
     rows = rows.withColumn("point_id", point_id(F.col(layout.id_column)))
@@ -94,6 +99,27 @@ def read_zipped(spark: SparkSession, path: str, member: str = r"\.csv$") -> Data
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "line string")
 
 
+def unzip(spark: SparkSession, path: str, folder: str, member: str = r"\.csv$") -> str:
+    """Writes the matching member of a zip file as one text table below a shared folder, header first; its path."""
+    read_zipped(spark, path, member).coalesce(1).write.mode("overwrite").text(folder)
+    return folder
+
+
+def read_config(spark: SparkSession, path: str, required: list[str] | None = None) -> dict:
+    """A JSON object, such as a run's settings; an absent required key is an error that names it."""
+    record = json.loads("\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect()))
+    if missing := sorted(set(required or ()) - set(record)):
+        raise ValueError(f"the settings lack {missing}")
+    return record
+
+
+def read_manifest(spark: SparkSession, path: str, start: str = "start", end: str = "end") -> DataFrame:
+    """start and end dates of a manifest's rows, in order; a row that ends before it starts is an error when read."""
+    rows = spark.read.option("header", True).csv(path).select(F.to_date(start).alias("start"), F.to_date(end).alias("end"))
+    wrong = F.raise_error(F.lit("an interval of the manifest is not one")).cast("date")
+    return rows.withColumn("end", F.when(F.col("start") <= F.col("end"), F.col("end")).otherwise(wrong)).orderBy("start", "end")
+
+
 def dated(paths: DataFrame, column: str = "path") -> DataFrame:
     """Adds day: the first eight digits of each file's name; files without are left out."""
     digits = F.regexp_extract(F.regexp_extract(column, r"([^/]*)$", 1), r"(\d{8})", 1)

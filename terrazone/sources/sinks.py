@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrazone.operators import audits
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which all executors share; in local mode one of our own if unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="terrazone-core-"))
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows from a table in the shared folder: it cuts the plan and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def ids_digest(points: DataFrame, column: str = "point_id", order: str = "node") -> DataFrame:
     """One row: the SHA-256 of the ids, one a line, in order. The text is as long as all ids of one site."""
@@ -12,8 +39,12 @@ def ids_digest(points: DataFrame, column: str = "point_id", order: str = "node")
     return points.agg(F.sha2(joined.cast("binary"), 256).alias("point_ids_sha256"), F.count("*").alias("n_points"))
 
 
-def write_site(points: DataFrame, obs: DataFrame, epochs: DataFrame, path: str) -> DataFrame:
-    """Writes the three tables, observations partitioned by period, and returns the site's summary row."""
+def write_site(points: DataFrame, obs: DataFrame, epochs: DataFrame, path: str, records: dict | None = None) -> DataFrame:
+    """Writes the three tables, observations partitioned by period, and returns the site's summary row. The records of
+    a site, where given, must be complete and are written beside the tables."""
+    if records is not None:
+        audits.site_records(records)
+        points.sparkSession.createDataFrame([(json.dumps(records, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/records")
     points.write.mode("overwrite").parquet(f"{path}/points")
     epochs.write.mode("overwrite").parquet(f"{path}/epochs")
     obs.write.mode("overwrite").partitionBy("period").parquet(f"{path}/obs")
