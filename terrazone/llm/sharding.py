@@ -33,7 +33,7 @@ SHARDS = 16
 PROBES = 4096
 HASH_BITS = 60
 #: Rows from which on a text's rows are numbered by several tasks, and least rows of a block of cells.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 1_000
 #: Bound of the texts of more rows than a block, and half of that of the blocks.
 CELLS = 8192
 _ABSENT = -(2**63)
