@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrazone.llm import components, decontam, fingerprints, fuzzylines, kernels, langid, minhash, mixing, quality, queries, sharding, store, suffix, tokens
+from terrazone.llm import components, decontam, editing, fingerprints, fuzzylines, kernels, langid, minhash, mixing, quality, queries, sharding, store, suffix, tokens
 from tests.conftest import same
 
 LONG = " ".join(f"word{i % 977} tail{i % 13}" for i in range(60_000))
@@ -233,7 +233,34 @@ def test_edit_distance():
     rng = np.random.default_rng(0)
     for _ in range(300):
         a, b = ("".join(rng.choice(list("abc"), rng.integers(0, 12))) for _ in range(2))
-        assert fuzzylines.distance(a, b) == plain_distance(a, b)
+        assert editing.distance(a, b) == plain_distance(a, b)
+
+
+def test_pairs_within_a_distance():
+    """Side by side in blocks, one by one, and with symbols that the other string lacks; limits on both sides of the distance."""
+    rng = np.random.default_rng(1)
+    for letters, n in (("ab", 150), ("abcdé中😀", 300), ("".join(map(chr, range(0x4E00, 0x4F00))), 120)):
+        left, right = [], []
+        for k in range(n):
+            x = list(rng.choice(list(letters), rng.integers(0, 12) if k % 3 else rng.integers(60, 140)))
+            y = list(x)
+            for _ in range(rng.integers(0, 6)):
+                at = rng.integers(0, len(y) + 1)
+                y[at : at + rng.integers(0, 2)] = rng.choice([*letters, "?"], rng.integers(0, 2)).tolist()
+            left.append("".join(x))
+            right.append("".join(y) if k % 5 else "".join(rng.choice(list(letters), len(x))))
+        real = np.array([plain_distance(a, b) for a, b in zip(left, right, strict=True)])
+        for off in (-1, 0, 2):
+            assert (editing.within(left, right, real + off) == (off >= 0)).all()
+        assert [editing.distance(a, b, d) for a, b, d in zip(left, right, real.tolist(), strict=True)] == real.tolist()
+
+
+def test_lines_of_rows_that_share_a_key(spark):
+    """Rows of one key, or without one, with other texts are documents of their own; equal rows share their lines."""
+    a, b, c = "the harbour opened before dawn today", "seventeen crates of mixed tools arrived", "no train ran over the northern bridge"
+    rows = [(1, a), (2, a), (2, f"{b}\n{c}"), (None, a), (None, c), (3, c), (4, b), (4, b)]
+    got = sorted(((r.doc_id or 0, r.n_lines, r.kept_text) for r in fuzzylines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), distance=None, min_words=1, with_text=True).collect()))
+    assert got == sorted([(0, 1, a), (0, 1, c), (1, 1, ""), (2, 1, ""), (2, 2, b), (3, 1, ""), (4, 1, ""), (4, 1, "")])
 
 
 def test_lines(spark, odd, empty, data):
@@ -261,7 +288,7 @@ def test_lines(spark, odd, empty, data):
     sim = np.array([sims[t] for t in nodes])
     for i in range(len(nodes)):
         for j in np.flatnonzero(np.bitwise_count(sim[i] ^ sim[:i]) <= 3):
-            if fuzzylines.similar(nodes[i], nodes[j], 0.8):
+            if fuzzylines.similar([nodes[i]], [nodes[j]], 0.8)[0]:
                 root[find(nodes[i])] = find(nodes[j])
     first = {}
     for k, line, _, t, _ in sorted(seen, key=lambda s: s[:2]):
