@@ -1,4 +1,4 @@
-"""python -m terrazone prepare | controlled | evaluate | rank"""
+"""python -m terrazone prepare | run | baseline | controlled | evaluate | rank"""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrazone.operators import experiment, metrics
+from terrazone.operators import baselines, experiment, metrics, timeaxis
 from terrazone.plans import site
 from terrazone.session import session
 from terrazone.sources import panels, readers, sinks
@@ -28,6 +28,19 @@ def main(argv: list[str] | None = None) -> None:
     c = commands.add_parser("evaluate", help="scores of labels (node, label) against site tables")
     c.add_argument("site")
     c.add_argument("labels")
+    c = commands.add_parser("run", help="zones and scores of a prepared site whose points have coordinates and terrain")
+    c.add_argument("site")
+    c.add_argument("config", help="JSON settings of the site")
+    c.add_argument("--imagery", help="table of node, z_o, q_o")
+    c.add_argument("--quality", help="table of node, field, value, direction")
+    c.add_argument("--variant", choices=list(experiment.VARIANTS), default="Full")
+    c.add_argument("--seed", type=int, default=0)
+    c = commands.add_parser("baseline", help="labels by descriptors of the series, or by an equal fusion of three views")
+    c.add_argument("method", choices=["descriptors", "views"])
+    c.add_argument("site")
+    c.add_argument("--views", help="table of node and three arrays: deformation, terrain, imagery")
+    c.add_argument("--zones", type=int, required=True)
+    c.add_argument("--seed", type=int, default=0)
     c = commands.add_parser("rank", help="a table of results with its ranks checked")
     c.add_argument("table")
     for c in commands.choices.values():
@@ -50,6 +63,25 @@ def main(argv: list[str] | None = None) -> None:
         obs = spark.read.parquet(f"{args.site}/obs")
         found = site.evaluate(obs, spark.read.parquet(f"{args.site}/points"), spark.read.parquet(args.labels))
         sinks.write_metrics(found, args.output)
+    elif args.command == "run":
+        settings = readers.read_config(spark, args.config, ["k_s", "lambda", "k_star"])
+        obs, points = spark.read.parquet(f"{args.site}/obs"), spark.read.parquet(f"{args.site}/points")
+        others = [spark.read.parquet(p) if p else None for p in (args.imagery, args.quality)]
+        solver = {n: settings["solver"][o] for n, o in (("max_iters", "max_iters"), ("tol", "tolerance")) if o in settings.get("solver", {})}
+        found = site.run(obs, points, int(settings["k_s"]), float(settings["lambda"]), int(settings["k_star"]), *others, variant=args.variant, seed=args.seed, n_init=int(settings.get("clustering", {}).get("n_init", 20)), **solver)
+        found.labels.write.mode("overwrite").parquet(f"{args.output}/labels")
+        for name in ("z", "rho", "links", "field"):
+            getattr(found, name).write.mode("overwrite").parquet(f"{args.output}/{name}")
+        sinks.write_metrics(found.metrics, f"{args.output}/metrics")
+    elif args.command == "baseline":
+        if args.method == "descriptors":
+            work = timeaxis.interpolate(timeaxis.admitted(spark.read.parquet(f"{args.site}/obs"), "train"))
+            labels = baselines.descriptor_zones(baselines.descriptors(work), args.zones, args.seed)
+        else:
+            if not args.views:
+                parser.error("views need a table of them")
+            labels = baselines.view_zones(spark.read.parquet(args.views), args.zones, args.seed)
+        labels.write.mode("overwrite").parquet(args.output)
     else:
         rows = readers.read_results(spark, args.table, RESULT)
         ranked = metrics.ranked(rows.drop("rank_FDD", "rank_FI"), "site", "FDD_mean", "FI_mean").withColumnsRenamed({"rank_FDD_mean": "rank_FDD", "rank_FI_mean": "rank_FI"})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from terrazone.operators.experiment import _scaled
 from terrazone.operators.zoning import kmeans
@@ -103,3 +104,17 @@ def shape_clusters(x: np.ndarray, k: int, shifts: int = 5, seed: int = 0, max_it
             break
         labels = new
     return labels
+
+
+def view_zones(rows: DataFrame, k: int, seed: int = 0, n_init: int = 4) -> DataFrame:
+    """node, label by `fused_views` of the three array columns after node. The views of one site fit the driver."""
+    held = rows.orderBy("node").toPandas()
+    labels = fused_views([np.stack(held[c].to_numpy()) for c in rows.columns if c != "node"], k, seed, n_init)
+    return rows.sparkSession.createDataFrame(pd.DataFrame({"node": held["node"], "label": labels}), "node long, label long")
+
+
+def series_clusters(panel: DataFrame, k: int, value: str = "filled", shifts: int = 5, seed: int = 0) -> DataFrame:
+    """node, label by `shape_clusters` of each node's series in order of its epochs. One site's series fit the driver."""
+    held = panel.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("e", value))), lambda x: x[value]).alias("x")).orderBy("node").toPandas()
+    labels = shape_clusters(np.stack(held["x"].to_numpy()), k, shifts, seed)
+    return panel.sparkSession.createDataFrame(pd.DataFrame({"node": held["node"], "label": labels}), "node long, label long")

@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrazone.functions.columns import EPSILON, quantile
+from terrazone.functions.columns import EPSILON, quantile, quantiles
 from terrazone.operators import timeaxis
+from terrazone.sources.sinks import written
 
 LONG_TERM = ["mean", "std", "median", "mad", "q05", "q25", "q75", "q95", "trend", "mean_abs_rate", "max_abs_rate", "end_minus_start", "late_minus_early", "annual_amplitude"]
 
 
 def robust_scale(rows: DataFrame, columns: list[str], epsilon: float = EPSILON) -> DataFrame:
     """(x - median) / (interquartile range + epsilon) of each column. Quantiles are exact; one row is broadcast."""
-    parts = rows.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns])
+    parts = quantiles(rows, {f"_{c}": F.col(c) for c in columns}, [0.25, 0.5, 0.75])
     both = rows.crossJoin(F.broadcast(parts))
     return both.withColumns({c: (F.col(c) - F.col(f"_{c}")[1]) / (F.col(f"_{c}")[2] - F.col(f"_{c}")[0] + epsilon) for c in columns}).select(*rows.columns)
 
@@ -114,14 +115,16 @@ def latent(panel: DataFrame, threshold: float = 0.95, epsilon: float = EPSILON)
     """
     rows, parts = blocks(panel)
     names = [c for p in parts for c in p]
-    rows = robust_scale(rows, names, epsilon).persist()
+    rows = written(robust_scale(written(rows, "blocks"), names, epsilon), "scaled")
     energy = rows.agg(*[F.sqrt(F.sum(sum((F.col(c) * F.col(c) for c in p), F.lit(0.0))) / F.count("*")) for p in parts]).first()
     scaled = rows.select("node", F.array(*[F.col(c) / (max(e, epsilon) * 3**0.5) for p, e in zip(parts, energy, strict=True) for c in p]).alias("x"))
-    mean = np.array(scaled.agg(*[F.avg(F.col("x")[k]) for k in range(len(names))]).first())
-    centred = scaled.withColumn("x", F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b))
-    n, gram = products(centred, "x", len(names))
+    # a one before each row: its products are the sums and the count, so one pass gives means and covariances
+    n, gram = products(scaled.select(F.concat(F.array(F.lit(1.0)), "x").alias("x")), "x", len(names) + 1)
     if n < 2:
         raise ValueError("a latent space takes at least two nodes")
+    mean = gram[0, 1:] / n
+    gram = gram[1:, 1:] - n * np.outer(mean, mean)  # values are robustly scaled, so little cancels
+    centred = scaled.withColumn("x", F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b))
     value, axes = np.linalg.eigh(gram / (n - 1))
     value, axes = np.maximum(value[::-1], 0), axes[:, ::-1]
     share = np.cumsum(value) / max(value.sum(), 1e-300)

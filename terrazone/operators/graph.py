@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrazone.functions.columns import EPSILON, affinity, clip, minus, norm, quantile
+from terrazone.functions.columns import EPSILON, affinity, clip, minus, norm, quantiles
+from terrazone.operators import linkage
+from terrazone.sources.sinks import written
 
 QUERY_BLOCK, DATA_BLOCK = 512, 8192
+#: Points of a cell of the first grid at most.
+FULL = 256
 
 
 def neighbours(nodes: DataFrame, k: int, vector: str = "z") -> DataFrame:
@@ -52,30 +56,45 @@ def neighbours(nodes: DataFrame, k: int, vector: str = "z") -> DataFrame:
     return near.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
-def planar_neighbours(nodes: DataFrame, k: int, cell: float) -> DataFrame:
+def cell_width(points: DataFrame, span: float, total: int, k: int) -> float:
+    """A grid's cell that holds some k points on average, halved until no cell holds more than FULL (or it is pointless:
+    points in one place share a cell at any width)."""
+    width = max(span, 1e-9) / max(1.0, (total / max(1, k)) ** 0.5)
+    for _ in range(24):
+        at = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
+        most = points.groupBy(at("_x"), at("_y")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if most <= FULL:
+            break
+        width /= 2
+    return width
+
+
+def planar_neighbours(nodes: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """The same for points (x, y), by a grid: candidates come from the 3 by 3 cells around a point, and points whose
     k-th candidate is farther than a cell's width, or that have fewer than k, look again in a grid of twice the width.
 
-    A point within the cell width is always among the candidates, so what is kept is exact.
+    A point within the cell width is always among the candidates, so what is kept is exact. Without a cell the first
+    grid is fine enough for the densest part; what is settled there never looks at wider cells. Rounds are written.
     """
-    left, parts = nodes.select("node", "x", "y"), []
-    total = nodes.count()
-    if not 1 <= k < total:
+    points = written(nodes.select(F.col("node").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y")), "points")
+    size = points.agg(F.count("*").alias("n"), (F.max("_x") - F.min("_x") + F.max("_y") - F.min("_y")).alias("s")).first()
+    if not 1 <= k < size.n:
         raise ValueError("k is at least 1 and less than the number of nodes")
-    span = nodes.agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("s")).first().s
-    points = nodes.select(F.col("node").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    cell = cell or cell_width(points, size.s, size.n, k)
+    left, parts = points.select(F.col("other").alias("node"), F.col("_x").alias("x"), F.col("_y").alias("y")), []
     while True:
-        whole = cell > span
+        whole = cell > size.s
         at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
         around = F.explode(F.array(*[F.struct((at("x") + i).alias("cx"), (at("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
         asked = left.select("node", "x", "y", around).select("node", "x", "y", "c.cx", "c.cy")
         met = asked.join(points.withColumns({"cx": at("_x"), "cy": at("_y")}), ["cx", "cy"]).where("node <> other")
         met = met.select("node", "other", F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2).alias("distance"))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("distance", "other"))
-        top = met.withColumn("_r", rank).where(F.col("_r") <= k)
-        good = top.groupBy("node").agg(F.count("*").alias("_n"), F.max("distance").alias("_far")).where((F.col("_n") == k) & (F.lit(whole) | (F.col("_far") <= cell))).select("node")
-        parts.append(top.join(good, "node").select("node", "other", "distance"))
-        left = left.join(good, "node", "left_anti").checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else left.join(good, "node", "left_anti").persist()
+        # a bounded best list for each node, merged on the way: no node's candidates are sorted as a whole
+        best = met.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k).alias("b"))
+        good = (F.size("b") == k) & (F.lit(whole) | (F.element_at("b", -1)["distance"] <= cell))
+        found = written(left.join(best, "node", "left").withColumn("_good", F.coalesce(good, F.lit(False))), "found")
+        parts.append(found.where("_good").select("node", F.explode("b").alias("b")).select("node", "b.other", "b.distance"))
+        left = found.where("not _good").select("node", "x", "y")
         if whole or left.isEmpty():
             break
         cell *= 2
@@ -118,19 +137,19 @@ def divergence(links: DataFrame, dual: str, dim: int) -> DataFrame:
     return ends.groupBy(F.col("e.node").alias("node")).agg(F.array(*[F.sum(F.col("e.v")[k]) for k in range(dim)]).alias("div"))
 
 
-def scale(links: DataFrame, column: str, epsilon: float = EPSILON) -> Column:
-    """Median of a column, at least epsilon; use inside an aggregate of the edges."""
-    return F.greatest(quantile(F.col(column), 0.5), F.lit(epsilon))
+def medians(links: DataFrame, **columns: Column) -> DataFrame:
+    """One row: the exact median of each column."""
+    return quantiles(links, {n: c for n, c in columns.items()}, [0.5]).select(*[F.col(n)[0].alias(n) for n in columns])
 
 
 def jump_scale(links: DataFrame, column: str = "distance", epsilon: float = EPSILON) -> DataFrame:
     """One row: the median jump over edges, plus epsilon."""
-    return links.agg((quantile(F.col(column), 0.5) + epsilon).alias("s_delta"))
+    return medians(links, m=F.col(column)).select((F.col("m") + epsilon).alias("s_delta"))
 
 
 def geometry_affinity(links: DataFrame, distance: str = "distance", epsilon: float = EPSILON) -> DataFrame:
     """Adds geometry_affinity, a Gaussian of the distance with the median as width."""
-    width = links.agg(scale(links, distance, epsilon).alias("_s"))
+    width = medians(links, m=F.col(distance)).select(F.greatest("m", F.lit(epsilon)).alias("_s"))
     return links.crossJoin(F.broadcast(width)).withColumn("geometry_affinity", affinity(-F.pow(F.col(distance), 2) / (2 * F.pow("_s", 2)))).drop("_s")
 
 
@@ -146,9 +165,9 @@ def terrain_vector(nodes: DataFrame, degrees: bool = True) -> DataFrame:
 
 def physical_graph(nodes: DataFrame, k: int, degrees: bool = True, epsilon: float = EPSILON) -> DataFrame:
     """src, dst, distance, terrain_distance, geometry_affinity, terrain_affinity. nodes: node, x, y and terrain."""
-    links = knn_union(nodes.select("node", F.array("x", "y").alias("z")), k)
+    links = edges(planar_neighbours(nodes.select("node", "x", "y"), k))
     links = distances(links, terrain_vector(nodes, degrees), "terrain", "terrain_distance")
-    widths = links.agg(scale(links, "distance", epsilon).alias("_s"), scale(links, "terrain_distance", epsilon).alias("_b"))
+    widths = medians(links, a=F.col("distance"), b=F.col("terrain_distance")).select(F.greatest("a", F.lit(epsilon)).alias("_s"), F.greatest("b", F.lit(epsilon)).alias("_b"))
     near = -F.pow("distance", 2) / (2 * F.pow("_s", 2))
     both = links.crossJoin(F.broadcast(widths)).withColumns({"geometry_affinity": affinity(near), "terrain_affinity": affinity(near - F.pow("terrain_distance", 2) / (2 * F.pow("_b", 2)))})
     return both.drop("_s", "_b")
@@ -157,7 +176,7 @@ def physical_graph(nodes: DataFrame, k: int, degrees: bool = True, epsilon: floa
 def optical_gate(links: DataFrame, nodes: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Adds gate: 1 less the ends' joint reliability times the dissimilarity of their features. nodes: node, z_o, q_o."""
     both = gather(links, nodes, "z_o", "q_o").withColumn("_d", norm(minus(F.col("z_o_s"), F.col("z_o_t"))))
-    width = both.agg(scale(both, "_d", epsilon).alias("_s"))
+    width = medians(both, m=F.col("_d")).select(F.greatest("m", F.lit(epsilon)).alias("_s"))
     like = affinity(-F.pow("_d", 2) / (2 * F.pow("_s", 2)))
     gate = clip(1 - F.sqrt(F.col("q_o_s") * F.col("q_o_t")) * (1 - like), 0, 1)
     return both.crossJoin(F.broadcast(width)).withColumn("gate", gate).select(*links.columns, "gate")
@@ -172,17 +191,5 @@ def edge_weights(links: DataFrame, affinity_column: str, gate: str | None = None
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, root: the least node that each reaches. Least labels spread over edges and are followed to their own
-    label each round (pointer jumping); each round is cut off from the plan before it."""
-    spark = nodes.sparkSession
-    both = links.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(links.select("dst", "src")).persist()
-    now, changed = nodes.select("node", F.col("node").alias("root")), 1
-    while changed:
-        heard = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("_m"))
-        new = now.join(heard, now.node == heard.a, "left").select("node", "root", F.least("root", F.coalesce("_m", "root")).alias("next"))
-        jump = new.select(F.col("node").alias("next"), F.col("next").alias("_j"))
-        new = new.join(jump, "next").select("node", "root", F.least("next", "_j").alias("next"))
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
-        changed = new.where("next <> root").count()
-        now = new.select("node", F.col("next").alias("root"))
-    return now
+    """node, root: the least node that each reaches."""
+    return nodes.select("node").join(linkage.roots(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrazone.functions.columns import dot, minus
+from terrazone.sources.sinks import written
 
 EPSILON = 1e-12
 #: A restart draws from this far beyond the seed, times its number from 1.
 RESTART_STEP = 104_729
+#: Ranges of nodes whose distances are summed up before a draw is placed.
+BINS = 4096
 
 
 def assign(nodes: DataFrame, centers: DataFrame) -> DataFrame:
@@ -93,7 +96,7 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, n_init: int = 20, max_iter: int
 def fit(nodes: DataFrame, ks: list[int], seed: int = 0, n_init: int = 20) -> DataFrame:
     """k, restart, inertia, labels of every restart of every k: one task each, over the nodes' broadcast latent values.
 
-    The latent values of one problem must fit a task; bigger ones use `assign` and `update` step by step.
+    The latent values of one problem must fit a task; bigger ones use `fit_frames`.
     """
     spark = nodes.sparkSession
     held = nodes.orderBy("node").select("node", "z").toPandas()
@@ -110,6 +113,59 @@ def fit(nodes: DataFrame, ks: list[int], seed: int = 0, n_init: int = 20) -> Dat
     return jobs.mapInPandas(run, "k int, restart int, inertia double, nodes array<long>, labels array<long>")
 
 
+def _drawn(near: DataFrame, draw: float) -> int:
+    """The first node, in order, up to which the share of the squared distances exceeds the draw: sums of at most BINS
+    ranges of nodes first, then the nodes of one range."""
+    ends = near.agg(F.min("node").alias("a"), F.max("node").alias("b"), F.sum("d2").alias("s")).first()
+    width = (ends.b - ends.a) // BINS + 1
+    at = F.floor((F.col("node") - ends.a) / width)
+    bins = sorted((r.at, r.s, r.n) for r in near.groupBy(at.alias("at")).agg(F.sum("d2").alias("s"), F.max("node").alias("n")).collect())
+    want, below = draw * ends.s, 0.0
+    for place, s, _ in bins:
+        if below + s > want:
+            upto = F.sum("d2").over(Window.orderBy("node"))  # one range of nodes
+            return near.where(at == place).withColumn("u", upto + below).where(F.col("u") > want).agg(F.min("node")).first()[0]
+        below += s
+    return bins[-1][2]
+
+
+def spread(nodes: DataFrame, k: int, rng: np.random.Generator) -> DataFrame:
+    """label, c: k-means++ centres of nodes (node, z) by the draws of `_spread`, for nodes that fit no task."""
+    n = nodes.count()
+    if not 1 <= k <= n:
+        raise ValueError("k is between 1 and the number of nodes")
+    chosen = [_drawn(nodes.select("node", F.lit(1.0).alias("d2")), (int(rng.integers(n)) + 0.5) / n)]
+    while True:
+        centers = written(nodes.where(F.col("node").isin(chosen)).select("node", "z"), "centers")
+        if len(chosen) == k:
+            order = F.element_at(F.create_map(*[x for j, c in enumerate(chosen) for x in (F.lit(c), F.lit(j))]), F.col("node"))
+            return centers.select(order.cast("long").alias("label"), F.col("z").alias("c"))
+        near = written(assign(nodes, centers.select(F.col("node").alias("label"), F.col("z").alias("c"))).select("node", "d2"), "near")
+        if near.agg(F.sum("d2")).first()[0] > EPSILON:
+            chosen.append(_drawn(near, float(rng.random())))
+        else:
+            chosen.append(nodes.where(~F.col("node").isin(chosen)).agg(F.min("node")).first()[0])
+
+
+def fit_frames(nodes: DataFrame, k: int, seed: int = 0, n_init: int = 20, max_iter: int = 300) -> tuple[DataFrame, float]:
+    """node, label of the best of n_init restarts, and its inertia: the steps of `restart` as frames over written tables,
+    for nodes that fit no task. The driver sees a count and a sum for each step."""
+    dim = len(nodes.first().z)
+    nodes = written(nodes.select("node", "z"), "nodes")
+    best, least = None, float("inf")
+    for number in range(n_init):
+        centers, old = spread(nodes, k, np.random.default_rng(seed + RESTART_STEP * (number + 1))), None
+        for _ in range(max_iter + 1):
+            now = written(assign(nodes, centers), "assigned")
+            if old is not None and now.join(old.select("node", F.col("label").alias("was")), "node").where("label <> was").isEmpty():
+                break
+            centers, old = written(update(nodes, now, dim, k), "centers"), now
+        inertia = now.agg(F.sum("d2")).first()[0]
+        if inertia < least - EPSILON:
+            best, least = now.select("node", "label"), inertia
+    return best, least
+
+
 def best_runs(runs: DataFrame) -> DataFrame:
     """For each k the run that wins: inertias in order of restart, a later one only if better by more than EPSILON."""
     w = Window.partitionBy("k").orderBy("restart")

@@ -32,7 +32,7 @@ def weights(links: DataFrame, variant: str = "Full") -> DataFrame:
 
 def evaluate(panel: DataFrame, points: DataFrame, labels: DataFrame, k: int = EVALUATION_NEIGHBOURS) -> DataFrame:
     """One row: dispersion over the test period and fragmentation of zones. points: node, x, y; labels: node, label."""
-    near = graph.knn_union(points.select("node", F.array("x", "y").alias("z")), k)
+    near = graph.edges(graph.planar_neighbours(points.select("node", "x", "y"), k))
     return metrics.dispersion(panel, labels).crossJoin(metrics.fragmentation(near, labels))
 
 

@@ -4,7 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from terrazone.operators import audits, baselines, experiment, features, graph, metrics, reliability, terrain, timeaxis, zoning
+from terrazone.functions import columns
+from terrazone.operators import audits, baselines, experiment, features, graph, linkage, metrics, reliability, terrain, timeaxis, zoning
 from terrazone.sources import panels
 
 
@@ -181,3 +182,52 @@ def test_panels(spark, data):
     p = panels.ship_panel(spark, data)
     assert p.groupBy("node", "e").count().where("count > 1").isEmpty() and p.where("value is null").count() > 0
     assert panels.sites(spark, data).count() == 10
+
+
+def test_components_in_many_tasks(spark):
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 460)]
+    df = spark.createDataFrame(links, "src long, dst long").repartition(5)
+    got = {r.node: r.root for r in linkage.roots(df, task_links=40).collect()}
+    u, v = linkage.contract(*np.array(links).T)
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = {x: find(x) for x in list(parent) if find(x) != x}
+    assert got == want == dict(zip(u.tolist(), v.tolist(), strict=True))
+
+
+def test_kmeans_by_frames(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(15, 2)) + c for c in ((0, 0), (6, 1), (2, 7))])
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, z array<double>")
+    labels, inertia = zoning.fit_frames(nodes, 3, seed=4, n_init=1)
+    want = zoning.kmeans(x, 3, seed=4, n_init=1)
+    assert inertia == pytest.approx(want.inertia) and [r.label for r in labels.orderBy("node").collect()] == want.labels.tolist()
+
+
+def test_exact_quantiles_of_columns(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=9_000), np.where(rng.random(9_000) < 0.4, 0.0, rng.exponential(size=9_000))
+    rows = spark.createDataFrame([*zip(x.tolist(), y.tolist(), strict=True), (None, None)], "x double, y double")
+    qs = [0.0, 0.02, 0.5, 0.75, 1.0]
+    got = columns.quantiles(rows, {"x": F.col("x"), "y": F.col("y")}, qs).first()
+    assert np.allclose(got.x, np.quantile(x, qs)) and np.allclose(got.y, np.quantile(y, qs))
+    assert columns.quantiles(rows.where("false"), {"x": F.col("x")}, [0.5]).first().x == [None]
+
+
+def test_dense_and_sparse_points(spark):
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.normal(scale=0.001, size=(120, 2)), rng.uniform(-50, 50, (60, 2)), np.zeros((20, 2))])
+    nodes = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "node long, x double, y double")
+    got = {(r.node, r.other) for r in graph.planar_neighbours(nodes, 3).collect()}
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, int(j)) for i in range(len(p)) for j in np.argsort(d[i], kind="stable")[:3]}
