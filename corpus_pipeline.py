@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again.
 
 Documents that the quality classifier rejects go; one document of each group of near copies stays; contaminated
-documents go; the sources are mixed by temperature; the result is written as token ids and read back.
+documents go; the sources are mixed by temperature; the result is written as token ids and read back. Extra columns of
+any name pass through the first four stages unchanged; an empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -13,23 +14,33 @@ from terrazone.llm import decontam, minhash, mixing, quality, queries, store, to
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. Null and empty texts are scored as texts without a byte; without labels of both
+    kinds all are kept (every score is 0.5). Rows that share a key are scored each by its own text."""
     model = quality.train(docs, store.table(spark, sf_dir, "labels"))
     return quality.rate(docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, likeness 0.8): the least key, null least of all. Texts without a
+    word are linked with nothing and stay; rows that share a key stay or go together."""
     return minhash.deduplicate(docs)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which fewer than one word in twenty lies in a benchmark window. A text without words stays; an empty
+    benchmark removes nothing."""
     return decontam.decontaminate(docs, store.table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight asks for, some not at all. A null source is a source of its own; documents
+    without tokens are not drawn."""
     return mixing.mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and checksum read back from the id files, in ascending order of doc_id; null texts are empty and
+    hold the end id alone."""
     path = store.Scratch(spark, "corpus").path("ids")
     tokens.write(docs, path, queries.vocabulary())
     return tokens.read(spark, path)
