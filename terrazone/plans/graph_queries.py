@@ -249,9 +249,17 @@ def tv_recovery_dual(spark, sf_dir):
     return _solved(spark, sf_dir, "total_variation", method="dual_fista", tol=1e-6, max_iters=3000)
 
 
-@query()
+#: Jacobi steps, which contract by the share of the links in each row of the system.
+@query(with_(VECTORS, KNN, WEIGHT, RHO).replace("WITH", "WITH RECURSIVE", 1) + """,
+c AS MATERIALIZED (SELECT 0.2 * (SELECT count(*) FROM rho) / ((SELECT count(*) FROM om) * s ** 2) AS c FROM js),
+nb AS MATERIALIZED (SELECT src AS node, dst AS other, c * omega AS w FROM om, c UNION ALL SELECT dst, src, c * omega FROM om, c),
+sy AS MATERIALIZED (SELECT node, i, rho + w AS diagonal, rho * z[i + 1] AS b FROM (SELECT *, unnest(range(64)) AS i FROM rho) JOIN (SELECT node, sum(w) AS w FROM nb GROUP BY node) USING (node)),
+st(k, node, i, u) AS (SELECT 0, node, i, b / diagonal FROM sy
+  UNION ALL SELECT k + 1, node, i, (b + f) / diagonal FROM (SELECT st.k, nb.node, st.i, sum(w * u) AS f FROM nb JOIN st ON nb.other = st.node WHERE st.k < 40 GROUP BY st.k, nb.node, st.i) JOIN sy USING (node, i))
+SELECT node, true AS converged, round(sum(u * u), 5) AS size, round(sum(u * (i + 1)), 5) + 0.0 AS mark FROM st WHERE k = 40 GROUP BY node""")
 def gl_recovery(spark, sf_dir):
-    return _solved(spark, sf_dir, "laplacian")
+    rows = _solved(spark, sf_dir, "laplacian").select("node", "converged", F.posexplode("u").alias("i", "x"))
+    return rows.groupBy("node", "converged").agg(F.round(F.sum(F.col("x") * F.col("x")), 5).alias("size"), (F.round(F.sum(F.col("x") * (F.col("i") + 1)), 5) + 0.0).alias("mark"))
 
 
 # zones ------------------------------------------------------------------------------------------------------------
