@@ -542,6 +542,15 @@ def test_languages(spark, data, odd, empty):
 # pipeline ---------------------------------------------------------------------------------------------------------
 
 
+def test_stages_leave_other_columns_alone(spark, data, odd):
+    import corpus_pipeline
+
+    marked = odd.withColumns({c: F.lit(7).cast(odd.schema[c].dataType) for c in ("score", "predicted", "n_words", "n_hit", "n_tokens", "weight", "_kept", "_hit")})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, marked, data)
+        assert got.columns == marked.columns and got.where("score <> 7 or predicted <> 7 or n_words <> 7 or n_hit <> 7 or weight <> 7").isEmpty()
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
