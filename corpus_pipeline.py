@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 from terrazone.llm import decontam, minhash, mixing, quality, queries, store, tokens
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents under names that meet no result column's, and the name of their text."""
+    own = {c: f"own{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), own["text"]
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. Null and empty texts are scored as texts without a byte; without labels of both
     kinds all are kept (every score is 0.5). Rows that share a key are scored each by its own text."""
     model = quality.train(docs, store.table(spark, sf_dir, "labels"))
-    return quality.rate(docs, model).where("predicted = 1").select(*docs.columns)
+    rows, text = _renamed(docs)
+    return quality.rate(rows, model, text=text).where("predicted = 1").select(*rows.columns).toDF(*docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +36,9 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which fewer than one word in twenty lies in a benchmark window. A text without words stays; an empty
     benchmark removes nothing."""
-    return decontam.decontaminate(docs, store.table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+    rows, text = _renamed(docs)
+    judged = decontam.decontaminate(rows, store.table(spark, sf_dir, "benchmark"), text=text)
+    return judged.where(~F.col("contaminated")).select(*rows.columns).toDF(*docs.columns)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
