@@ -333,6 +333,29 @@ def removed_by_similarity(rows, min_words):
     return {k: len(gone[k]) for k, _ in rows}
 
 
+def test_screening_of_lines_loses_no_similar_pair():
+    """Profiles let every pair of edit similarity 0.8 pass, long runs of one character too, and few unrelated pairs."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlucmfg"), rng.integers(2, 9))) for _ in range(800)]
+    base = [" ".join(rng.choice(vocabulary, rng.integers(1, 25))) for _ in range(200)] + ["", "a", "ab", "a" * 900, "a" * 800 + "b" * 100, "中文 é😀" * 9]
+    other = [x for share in (0.0, 0.1, 0.19) for x in typing(rng, [b or "x" for b in base], share)]
+    left, right = [*base * 3, *base], [*other, *np.roll(base, 1).tolist()]
+    held, n = fuzzylines.profiles(left + right)
+    may = fuzzylines.screened(held, n, np.arange(len(left)), np.arange(len(left), 2 * len(left)), 0.8)
+    assert may[fuzzylines.similar(left, right, 0.8)].all()
+    assert may[-len(base) : -6].sum() < 0.2 * len(base)
+
+
+def test_keys_of_lines_are_the_same_in_parts(spark):
+    """Tables dealt out a few at a time hold the keys of all tables at once."""
+    rng = np.random.default_rng(9)
+    rows = [(int(h), 60, *(int(x) for x in rng.integers(0, 3, 4)), *[None] * 4) for h in rng.integers(1, 1 << 40, 50)]
+    nodes = spark.createDataFrame(rows, "h long, n long, " + ", ".join(f"{m} long" for m in fuzzylines._MINHASHES))
+    tables = lambda combos: {(r.mask, r.bucket, bytes(r.h), bytes(r.key)) for r in fuzzylines._edit_keys(nodes.coalesce(1), 3, combos).collect()}
+    every = list(range(len(fuzzylines.COMBOS)))
+    assert tables(every) == tables(every[:7]) | tables(every[7:])
+
+
 def typing(rng, lines_, share):
     """Each line with this share of its characters (one at least) replaced."""
     out = []
