@@ -5,6 +5,8 @@ An edge is (src, dst) with src < dst. Node attributes reach edges by two equi-jo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,21 +17,25 @@ from terrazone.functions.columns import EPSILON, affinity, clip, minus, norm, qu
 from terrazone.operators import linkage
 from terrazone.sources.sinks import written
 
-QUERY_BLOCK, DATA_BLOCK = 512, 8192
-#: Points of a cell of the first grid at most.
-FULL = 256
+#: Nodes of a block at most, and queries of a block of few nodes; queries whose distances are held at once, and of them
+#: groups of nodes whose least one bounds the k-th; candidates of a query from which on it is sorted on its own.
+BLOCK, FEW, HELD, GROUP, MANY = 16_384, 1024, 256, 32, 256
+#: Points of a cell of the first grid on average, and at most.
+SOME, FULL = 128, 1024
 
 
 def neighbours(nodes: DataFrame, k: int, vector: str = "z") -> DataFrame:
     """node, other, distance: the k nearest other nodes of each, ties to the lower node.
 
     Exact in any dimension: every block of queries meets every block of nodes in a task of bounded size, which keeps
-    the block's k best; the rest is a top k over k rows for each block.
+    the block's k best; the rest is a top k over k rows for each block. Products of the blocks leave few candidates, and
+    those are measured and ordered as such.
     """
     n = nodes.count()
     if not 1 <= k < n:
         raise ValueError("k is at least 1 and less than the number of nodes")
-    q, d = -(-n // QUERY_BLOCK), -(-n // DATA_BLOCK)
+    d = -(-n // BLOCK)
+    q = max(d, min(nodes.sparkSession.sparkContext.defaultParallelism, -(-n // FEW)))
     rows = nodes.select("node", F.col(vector).alias("z"))
     asked = rows.select(F.pmod(F.xxhash64("node"), F.lit(q)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("d"), F.lit(True).alias("asks"), "node", "z")
     known = rows.select(F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("q"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(d)).cast("int").alias("d"), F.lit(False).alias("asks"), "node", "z")
@@ -40,26 +46,69 @@ def neighbours(nodes: DataFrame, k: int, vector: str = "z") -> DataFrame:
         z = np.array(table["z"].combine_chunks().flatten()).reshape(len(node), -1)
         order = np.argsort(node, kind="stable")
         own, other = order[asks[order]], order[~asks[order]]
-        out: list[list] = [[], [], []]
-        for i in own:
-            dist = np.sqrt(((z[other] - z[i]) ** 2).sum(axis=1))
-            dist[node[other] == node[i]] = np.inf
-            top = np.argsort(dist, kind="stable")[:k]
-            top = top[np.isfinite(dist[top])]
-            out[0] += [node[i]] * len(top)
-            out[1] += node[other[top]].tolist()
-            out[2] += dist[top].tolist()
-        return pa.table({"node": pa.array(out[0], pa.int64()), "other": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
+        i, j, dist = nearest(z[own], node[own], z[other], node[other], k)
+        return pa.table({"node": pa.array(node[own[i]], pa.int64()), "other": pa.array(node[other[j]], pa.int64()), "distance": pa.array(dist, pa.float64())})
 
     near = asked.union(known).groupBy("q", "d").applyInArrow(best, "node long, other long, distance double")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("distance", "other"))
     return near.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
-def cell_width(points: DataFrame, span: float, total: int, k: int) -> float:
-    """A grid's cell that holds some k points on average, halved until no cell holds more than FULL (or it is pointless:
+def nearest(x: np.ndarray, x_node: np.ndarray, y: np.ndarray, y_node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, their k nearest rows of y that are other nodes, and the distances; y is in order of nodes, and ties go to
+    the first. Distances that are not finite do not count.
+
+    |x|^2 + |y|^2 - 2 xy is within a known error of a squared distance, so what it puts beyond the k-th by more than that
+    is no neighbour; the others' distances are summed from differences.
+    """
+    middle = y.mean(axis=0) if len(y) else np.zeros(x.shape[1])
+    middle = np.where(np.isfinite(middle), middle, 0.0)
+    near_x, near_y = x - middle, y - middle  # squares of large coordinates would hide small distances
+    xx, yy = (near_x * near_x).sum(axis=1), (near_y * near_y).sum(axis=1)
+    slack = 8 * (x.shape[1] + 8) * np.finfo(float).eps * (xx + yy.max(initial=0.0))
+    groups = len(y) // GROUP
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+
+    def kept(i: np.ndarray, j: np.ndarray) -> None:  # pairs in order of x, then y
+        dist = np.sqrt(((y[j] - x[i]) ** 2).sum(axis=1))
+        good = np.flatnonzero(np.isfinite(dist) & (x_node[i] != y_node[j]))
+        i, j, dist = i[good], j[good], dist[good]
+        order = np.lexsort((j, dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        first = np.searchsorted(i, i)
+        top = np.arange(len(i)) - first < k
+        for held, v in zip(out, (i, j, dist), strict=True):
+            held.append(v[top])
+
+    for lo in range(0, len(x), HELD):
+        own = np.arange(lo, min(lo + HELD, len(x)))
+        with np.errstate(invalid="ignore", over="ignore"):
+            d = near_x[own] @ (-2 * near_y.T)
+            d += yy
+            d += xx[own, None]
+            at = np.searchsorted(y_node, x_node[own])
+            there = np.flatnonzero(at < len(y))
+            there = there[y_node[at[there]] == x_node[own[there]]]
+            d[there, at[there]] = np.inf
+            if groups > k:
+                least = d[:, : groups * GROUP].reshape(len(own), groups, GROUP).min(axis=2)
+                limit = np.partition(least, k - 1, axis=1)[:, k - 1]
+            else:
+                limit = np.full(len(own), np.inf)
+            far = d > (limit + 2 * slack[own])[:, None]  # what is not a number stays
+        i, j = np.nonzero(~far)
+        count = np.bincount(i, minlength=len(own))
+        few = count[i] <= MANY
+        kept(own[i[few]], j[few])
+        for r in np.flatnonzero(count > MANY).tolist():
+            kept(*(v.copy() for v in (np.full(count[r], own[r]), np.flatnonzero(~far[r]))))
+    return tuple(np.concatenate(v) for v in out)
+
+
+def cell_width(points: DataFrame, wide: float, high: float, total: int) -> float:
+    """A grid's cell that holds SOME points on average, halved until no cell holds more than FULL (or it is pointless:
     points in one place share a cell at any width)."""
-    width = max(span, 1e-9) / max(1.0, (total / max(1, k)) ** 0.5)
+    width = max((wide * high * SOME / total) ** 0.5, max(wide, high) * SOME / total, 1e-9)
     for _ in range(24):
         at = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
         most = points.groupBy(at("_x"), at("_y")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
@@ -73,28 +122,27 @@ def planar_neighbours(nodes: DataFrame, k: int, cell: float | None = None) -> Da
     """The same for points (x, y), by a grid: candidates come from the 3 by 3 cells around a point, and points whose
     k-th candidate is farther than a cell's width, or that have fewer than k, look again in a grid of twice the width.
 
-    A point within the cell width is always among the candidates, so what is kept is exact. Without a cell the first
-    grid is fine enough for the densest part; what is settled there never looks at wider cells. Rounds are written.
+    A point within the cell width is always among the candidates, so what is kept is exact. The first grid is fine
+    enough for the densest part, a given cell is only its widest; what is settled there never looks at wider cells. Rounds
+    are written.
     """
     points = written(nodes.select(F.col("node").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y")), "points")
-    size = points.agg(F.count("*").alias("n"), (F.max("_x") - F.min("_x") + F.max("_y") - F.min("_y")).alias("s")).first()
+    size = points.agg(F.count("*").alias("n"), (F.max("_x") - F.min("_x")).alias("w"), (F.max("_y") - F.min("_y")).alias("h")).first()
     if not 1 <= k < size.n:
         raise ValueError("k is at least 1 and less than the number of nodes")
-    cell = cell or cell_width(points, size.s, size.n, k)
+    derived = cell_width(points, size.w, size.h, size.n)
+    cell = min(cell, derived) if cell else derived
     left, parts = points.select(F.col("other").alias("node"), F.col("_x").alias("x"), F.col("_y").alias("y")), []
     while True:
-        whole = cell > size.s
+        whole = cell > size.w + size.h
         at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
-        around = F.explode(F.array(*[F.struct((at("x") + i).alias("cx"), (at("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
-        asked = left.select("node", "x", "y", around).select("node", "x", "y", "c.cx", "c.cy")
-        met = asked.join(points.withColumns({"cx": at("_x"), "cy": at("_y")}), ["cx", "cy"]).where("node <> other")
-        met = met.select("node", "other", F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2).alias("distance"))
-        # a bounded best list for each node, merged on the way: no node's candidates are sorted as a whole
-        best = met.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k).alias("b"))
-        good = (F.size("b") == k) & (F.lit(whole) | (F.element_at("b", -1)["distance"] <= cell))
-        found = written(left.join(best, "node", "left").withColumn("_good", F.coalesce(good, F.lit(False))), "found")
-        parts.append(found.where("_good").select("node", F.explode("b").alias("b")).select("node", "b.other", "b.distance"))
-        left = found.where("not _good").select("node", "x", "y")
+        around = F.explode(F.array(*[F.struct((at("_x") + i).alias("cx"), (at("_y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
+        asked = left.select(at("x").alias("cx"), at("y").alias("cy"), F.lit(True).alias("asks"), "node", "x", "y")
+        known = points.select("other", "_x", "_y", around).select("c.cx", "c.cy", F.lit(False).alias("asks"), F.col("other").alias("node"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+        known = known.join(asked.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+        found = written(asked.union(known).groupBy("cx", "cy").applyInArrow(_in_cell(k, float("inf") if whole else cell), "node long, x double, y double, others array<long>, distances array<double>, good boolean"), "found")
+        parts.append(found.where("good").select("node", F.explode(F.arrays_zip("others", "distances")).alias("b")).select("node", F.col("b.others").alias("other"), F.col("b.distances").alias("distance")))
+        left = found.where("not good").select("node", "x", "y")
         if whole or left.isEmpty():
             break
         cell *= 2
@@ -104,13 +152,34 @@ def planar_neighbours(nodes: DataFrame, k: int, cell: float | None = None) -> Da
     return out
 
 
+def _in_cell(k: int, settled: float) -> Callable[[pa.Table], pa.Table]:
+    """For each point that asks its k nearest among all of the group; good if there are k, none farther than settled."""
+
+    def best(table: pa.Table) -> pa.Table:
+        asks, node = table["asks"].to_numpy(), table["node"].to_numpy()
+        z = np.stack([table["x"].to_numpy(), table["y"].to_numpy()], axis=1)
+        order = np.argsort(node, kind="stable")
+        own, other = order[asks[order]], order[~asks[order]]
+        i, j, dist = nearest(z[own], node[own], z[other], node[other], k)
+        order = np.argsort(i, kind="stable")
+        i, j, dist = i[order], j[order], dist[order]
+        first = np.searchsorted(i, np.arange(len(own) + 1))
+        good = np.diff(first) == k
+        good[good] = dist[first[1:][good] - 1] <= settled
+        lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), v) for v in (pa.array(node[other[j]], pa.int64()), pa.array(dist, pa.float64()))]
+        return pa.table({"node": pa.array(node[own], pa.int64()), "x": z[own, 0], "y": z[own, 1], "others": lists[0], "distances": lists[1], "good": pa.array(good)})
+
+    return best
+
+
 def edges(near: DataFrame) -> DataFrame:
     """src, dst, distance: the union of the neighbour relation and its reverse, each edge once."""
     return near.groupBy(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).agg(F.min("distance").alias("distance"))
 
 
 def knn_union(nodes: DataFrame, k: int, vector: str = "z") -> DataFrame:
-    return edges(neighbours(nodes, k, vector))
+    """The edges of the k nearest neighbours, written: what reads them several times does not search again."""
+    return written(edges(neighbours(nodes, k, vector)), "edges")
 
 
 def gather(links: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:

@@ -223,6 +223,35 @@ def test_exact_quantiles_of_columns(spark):
     assert columns.quantiles(rows.where("false"), {"x": F.col("x")}, [0.5]).first().x == [None]
 
 
+@pytest.mark.parametrize("shift", [0.0, 5e6])
+def test_nearest_is_exact(shift):
+    """Copies, ties, large coordinates and rows that are not finite: as by all distances in order."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(900, 3)), rng.integers(0, 3, (300, 3)), np.zeros((400, 3)), [[np.nan] * 3]]) + shift
+    node = np.sort(rng.choice(10_000, len(x), replace=False))
+    i, j, dist = graph.nearest(x, node, x, node, 5)
+    got = {}
+    for a, b, c in zip(i.tolist(), j.tolist(), dist.tolist(), strict=True):
+        got.setdefault(a, []).append((b, c))
+    for a in range(len(x) - 1):
+        d = np.sqrt(((x - x[a]) ** 2).sum(axis=1))
+        d[a] = np.inf
+        assert got[a] == [(int(b), d[b]) for b in np.argsort(d, kind="stable")[:5]]
+    assert len(x) - 1 not in got
+
+
+def test_a_wide_cell_is_narrowed(spark, monkeypatch):
+    """Many points in a cell of the caller's choice: the first grid is finer, and the answer is the same."""
+    cells, made = [], graph._in_cell
+    monkeypatch.setattr(graph, "_in_cell", lambda k, settled: cells.append(settled) or made(k, settled))
+    p = np.random.default_rng(4).uniform(0, 100, (3000, 2))
+    nodes = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "node long, x double, y double")
+    got = {(r.node, r.other) for r in graph.planar_neighbours(nodes, 2, 1000.0).collect()}
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert cells[0] < 50 and got == {(i, int(j)) for i in range(len(p)) for j in np.argsort(d[i], kind="stable")[:2]}
+
+
 def test_dense_and_sparse_points(spark):
     rng = np.random.default_rng(9)
     p = np.concatenate([rng.normal(scale=0.001, size=(120, 2)), rng.uniform(-50, 50, (60, 2)), np.zeros((20, 2))])
