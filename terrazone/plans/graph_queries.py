@@ -11,6 +11,7 @@ from terrazone.functions.columns import times
 from terrazone.operators import graph, metrics, optical, recovery, zoning
 from terrazone.plans.panel_queries import r6, sql6, with_
 from terrazone.sources.panels import sites, table, vectors
+from terrazone.sources.sinks import written
 
 K, LAMBDA, DIM = 8, 0.2, 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +44,11 @@ def _links(spark, sf_dir) -> DataFrame:
 
 
 def _weighted(spark, sf_dir) -> DataFrame:
-    return graph.edge_weights(graph.geometry_affinity(_links(spark, sf_dir)), "geometry_affinity")
+    return _with_weights(_links(spark, sf_dir))
+
+
+def _with_weights(links: DataFrame) -> DataFrame:
+    return graph.edge_weights(graph.geometry_affinity(links), "geometry_affinity")
 
 
 def _state(spark, sf_dir) -> DataFrame:
@@ -154,8 +159,8 @@ def optical_representation(spark, sf_dir):
 _FLOW = "fl AS (SELECT src, dst, omega, unnest(list_transform(range(1, 65), lambda i: omega * (a.u[i] - b.u[i]))) AS f, unnest(range(64)) AS i FROM om JOIN rho a ON a.node = src JOIN rho b ON b.node = dst), dv AS (SELECT node, i, sum(f) AS d FROM (SELECT src AS node, i, f FROM fl UNION ALL SELECT dst, i, -f FROM fl) GROUP BY node, i)"
 
 
-def _flow(spark, sf_dir) -> DataFrame:
-    both = graph.gather(_weighted(spark, sf_dir), _state(spark, sf_dir).select("node", "u"), "u")
+def _flow(spark, sf_dir, links: DataFrame | None = None) -> DataFrame:
+    both = graph.gather(_weighted(spark, sf_dir) if links is None else _with_weights(links), _state(spark, sf_dir).select("node", "u"), "u")
     return both.select("src", "dst", "omega", F.transform(F.arrays_zip("u_s", "u_t"), lambda x: F.col("omega") * (x["u_s"] - x["u_t"])).alias("y"))
 
 
@@ -197,8 +202,9 @@ pr AS (SELECT fidelity + (SELECT 0.2 * sum(omega * j) / (count(*) * any_value(s)
 SELECT round(primal, 6) AS primal, round((a - b / 2) / n, 6) AS dual, round(primal - (a - b / 2) / n, 6) AS gap, round(greatest(primal - (a - b / 2) / n, 0) / greatest(abs(primal), abs((a - b / 2) / n)), 6) AS relative_gap,
   round(over / radius, 6) AS feasibility, round(sqrt(rr) / greatest(sqrt(gg), sqrt(dd)), 6) AS stationarity FROM pr, sums, far, c""")
 def tv_certificate(spark, sf_dir):
-    links = _flow(spark, sf_dir).withColumn("y", times(F.col("y"), F.lit(0.01))).persist()
-    s = graph.jump_scale(_links(spark, sf_dir)).first().s_delta
+    near = _links(spark, sf_dir)
+    links = written(_flow(spark, sf_dir, near).withColumn("y", times(F.col("y"), F.lit(0.01))), "flow")
+    s = graph.jump_scale(near).first().s_delta
     found = recovery.certificate(_state(spark, sf_dir), links, s, LAMBDA, DIM)
     return found.select(*r6("primal", "dual", "gap", "relative_gap", "feasibility", "stationarity"))
 
