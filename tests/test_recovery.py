@@ -45,6 +45,25 @@ def test_laplacian_equals_dense():
     assert got.converged and np.allclose(got.u, np.linalg.solve(system, p.rho[:, None] * p.z), atol=1e-8)
 
 
+def test_edges_in_blocks(monkeypatch):
+    """Blocks of any size, with a node of many edges, give the transpose of the difference operator; no step changes start."""
+    rng = np.random.default_rng(3)
+    edges = np.unique(np.sort(np.concatenate([[(0, i) for i in range(1, 60)], rng.choice(60, (200, 2))]), axis=1), axis=0)
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    z, k, found = rng.normal(size=(60, 4)), np.zeros((len(edges), 60)), []
+    k[np.arange(len(edges)), edges[:, 0]], k[np.arange(len(edges)), edges[:, 1]] = 1, -1
+    for block in (7, 64, 4096):
+        monkeypatch.setattr(recovery, "EDGE_BLOCK", block)
+        p = Problem(z, np.ones(60), edges, np.ones(len(edges)), 1.0, 0.3)
+        y = rng.normal(size=(len(edges), 4))
+        assert len(p.blocks) == -(-len(edges) // block) and np.allclose(p.divergence(y), k.T @ y) and np.allclose(p.flow(z), k.T @ k @ z)
+        found.append(total_variation(p, method="dual_fista", max_iters=200, tol=-1.0))
+        start = found[-1].y.copy()
+        total_variation(p, start=found[-1], done=200, max_iters=210)
+        assert np.array_equal(start, found[-1].y)
+    assert np.allclose(found[0].u, found[1].u) and np.allclose(found[0].u, found[2].u)
+
+
 def test_shortcuts_and_guards():
     p = path(lam=0.0)
     assert total_variation(p).iterations == 0 and np.array_equal(laplacian(p).u, p.z)
