@@ -43,8 +43,9 @@ MINOR_BLOCK, MAJOR_BLOCK = 256, 512
 #: Keys of a bucket, and keys that a task holds before it sends them.
 BUCKET_KEYS, SENT_KEYS = 1_000_000, 500_000
 MEMBERS = 64
-#: Nodes of a task with one key from which on a hub goes to the bucket for them; tasks over which the nodes of such a key are dealt.
-PIECE, SALTS = 32, 256
+#: Nodes of a task with one key from which on a hub goes to the bucket for them; tasks over which the nodes of such a key are
+#: dealt at most, and nodes of a piece for each of those, so that their number follows that of the nodes.
+PIECE, SALTS, SPREAD = 32, 256, 4
 _ABSENT = -(2**63)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -308,7 +309,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             f = np.frombuffer(ids, np.int64)
-            salts = np.full(len(f), SALTS if len(f) > PIECE else 1, np.int32)
+            salts = np.full(len(f), min(SALTS, -(-len(f) // SPREAD)) if len(f) > PIECE else 1, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), key)), pa.array(f), pa.array(salts)], names=["key", "f", "salts"])
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +334,14 @@ def removed_by_similarity(rows, min_words):
     return {k: len(gone[k]) for k, _ in rows}
 
 
+def test_salts_follow_the_nodes_of_a_key():
+    """The rows that a key's salts make stay below its nodes, in small pieces and large ones."""
+    sizes = [2, 32, 33, 40, 300, 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([np.arange(n).tobytes() for n in sizes], pa.binary())], names=["key", "ids"])
+    salts = [int(b.column(2)[0].as_py()) for b in minhash._unpack(iter([batch]))]
+    assert salts == [1, 1, 9, 10, 75, 256] and all(4 * s <= n + 3 for s, n in zip(salts[2:], sizes[2:], strict=True))
+
+
 def test_screening_of_lines_loses_no_similar_pair():
     """Profiles let every pair of edit similarity 0.8 pass, long runs of one character too, and few unrelated pairs."""
     rng = np.random.default_rng(5)
