@@ -50,6 +50,20 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.stack([((x - k) ** 2).sum(axis=1) for k in c], axis=1)
 
 
+def _nearest(x: np.ndarray, xx: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, ties to the first, as `_squared` has it: |c|^2 - 2 xc has a known error, and rows with
+    two centres within it are measured by differences."""
+    d = x @ (-2 * c.T)
+    d += (c * c).sum(axis=1)
+    labels = d.argmin(axis=1)
+    if len(c) > 1:
+        two = np.partition(d, 1, axis=1)
+        slack = 16 * (x.shape[1] + 8) * np.finfo(float).eps * (xx + (c * c).sum(axis=1).max())
+        close = np.flatnonzero(~(two[:, 1] - two[:, 0] > slack))
+        labels[close] = _squared(x[close], c).argmin(axis=1)
+    return labels
+
+
 def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means++ centres: the first at random, each next with a chance in proportion to its squared distance."""
     chosen = [int(rng.integers(len(x)))]
@@ -67,18 +81,19 @@ def restart(x: np.ndarray, k: int, seed: int, number: int, max_iter: int = 300)
     """One run of Lloyd's steps until no label changes."""
     rng = np.random.default_rng(seed + RESTART_STEP * (number + 1))
     centers, old, turns = _spread(x, k, rng), None, 0
+    xx = (x * x).sum(axis=1)
     for turns in range(1, max_iter + 1):
-        d = _squared(x, centers)
-        labels = d.argmin(axis=1)
+        labels = _nearest(x, xx, centers)
         if old is not None and (labels == old).all():
             break
-        far = iter(np.lexsort((np.arange(len(x)), -d[np.arange(len(x)), labels])))
         size = np.bincount(labels, minlength=k)
-        centers = np.stack([x[labels == c].mean(axis=0) if size[c] else x[next(far)] for c in range(k)])
-        old = labels
-    d = _squared(x, centers)
-    labels = d.argmin(axis=1)
-    return Zones(labels, centers, float(d[np.arange(len(x)), labels].sum()), turns)
+        means = (labels == np.arange(k)[:, None]).astype(float) @ x / np.maximum(size, 1)[:, None]
+        if not size.all():
+            far = np.lexsort((np.arange(len(x)), -((x - centers[labels]) ** 2).sum(axis=1)))
+            means[size == 0] = x[far[: (size == 0).sum()]]
+        centers, old = means, labels
+    labels = _nearest(x, xx, centers)
+    return Zones(labels, centers, float(((x - centers[labels]) ** 2).sum(axis=1).sum()), turns)
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 0, n_init: int = 20, max_iter: int = 300) -> Zones:
@@ -93,8 +108,9 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, n_init: int = 20, max_iter: int
     return best
 
 
-def fit(nodes: DataFrame, ks: list[int], seed: int = 0, n_init: int = 20) -> DataFrame:
+def fit(nodes: DataFrame, ks: list[int], seed: int = 0, n_init: int = 20, with_labels: bool = True) -> DataFrame:
     """k, restart, inertia, labels of every restart of every k: one task each, over the nodes' broadcast latent values.
+    Written, so that what reads the runs several times does not run them again; without labels nodes and labels are null.
 
     The latent values of one problem must fit a task; bigger ones use `fit_frames`.
     """
@@ -108,9 +124,10 @@ def fit(nodes: DataFrame, ks: list[int], seed: int = 0, n_init: int = 20) -> Dat
         for pdf in frames:
             for k, r in pdf.itertuples(index=False):
                 got = restart(x, int(k), seed, int(r))
-                yield pd.DataFrame({"k": [k], "restart": [r], "inertia": [got.inertia], "nodes": [ids], "labels": [got.labels]})
+                yield pd.DataFrame({"k": [k], "restart": [r], "inertia": [got.inertia], "nodes": [ids if with_labels else None], "labels": [got.labels if with_labels else None]})
 
-    return jobs.mapInPandas(run, "k int, restart int, inertia double, nodes array<long>, labels array<long>")
+    runs = jobs.mapInPandas(run, "k int, restart int, inertia double, nodes array<long>, labels array<long>")
+    return written(runs, "runs")
 
 
 def _drawn(near: DataFrame, draw: float) -> int:

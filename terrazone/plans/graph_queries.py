@@ -297,7 +297,7 @@ def kmeans_zones(spark, sf_dir):
 @query()
 def select_k(spark, sf_dir):
     """The number of zones by the elbow of seeded k-means inertias."""
-    return zoning.elbow(zoning.best_runs(zoning.fit(vectors(spark, sf_dir), list(range(2, 11)))).select("k", "inertia"))
+    return zoning.elbow(zoning.best_runs(zoning.fit(vectors(spark, sf_dir), list(range(2, 11)), with_labels=False)).select("k", "inertia"))
 
 
 _INERTIA = "i AS (SELECT CAST(n_regionkey + 2 AS INTEGER) AS k, sum(n_nationkey) + 100.0 / (n_regionkey + 1) AS inertia FROM nation GROUP BY n_regionkey), j AS (SELECT k, inertia FROM i UNION ALL SELECT k + 5, inertia / 4 FROM i WHERE k < 6)"

@@ -252,6 +252,15 @@ def test_a_wide_cell_is_narrowed(spark, monkeypatch):
     assert cells[0] < 50 and got == {(i, int(j)) for i in range(len(p)) for j in np.argsort(d[i], kind="stable")[:2]}
 
 
+def test_nearest_centres_with_ties():
+    """Products of rows and centres give the labels of the differences, ties to the first centre, also far from zero."""
+    rng = np.random.default_rng(6)
+    for shift in (0, 1 << 20):
+        x = rng.integers(0, 4, (500, 3)).astype(float) + shift
+        c = np.concatenate([x[:5], x[:2], x[5:9]])
+        assert (zoning._nearest(x, (x * x).sum(axis=1), c) == zoning._squared(x, c).argmin(axis=1)).all()
+
+
 def test_dense_and_sparse_points(spark):
     rng = np.random.default_rng(9)
     p = np.concatenate([rng.normal(scale=0.001, size=(120, 2)), rng.uniform(-50, 50, (60, 2)), np.zeros((20, 2))])
