@@ -396,7 +396,7 @@ def zone_summary(spark, sf_dir):
     s = graph.jump_scale(links).first().s_delta
     ready = nodes.select(F.lit(1).alias("problem"), "node", "z", F.lit(1.0).alias("rho"))
     got = recovery.solve_groups(ready, links.select(F.lit(1).alias("problem"), "src", "dst", "omega", F.lit(s).alias("s")), ["problem"], LAMBDA, tol=1e-5, max_iters=2000)
-    field = got.select("node", F.col("u").alias("z")).persist()
+    field = written(got.select("node", F.col("u").alias("z")), "field")
     runs = zoning.best_runs(zoning.fit(field, [6]))
     labels = runs.select(F.explode(F.arrays_zip("nodes", "labels")).alias("r")).select(F.col("r.nodes").alias("node"), F.col("r.labels").alias("zone"))
     pieces = metrics.fragments(links, labels.withColumnRenamed("zone", "label")).withColumnRenamed("label", "zone")
