@@ -256,6 +256,16 @@ def test_pairs_within_a_distance():
         assert [editing.distance(a, b, d) for a, b, d in zip(left, right, real.tolist(), strict=True)] == real.tolist()
 
 
+def test_pairs_within_a_distance_of_any_size():
+    """The band of diagonals holds for limits of several words, for unlike lengths and for limits beyond the strings."""
+    rng = np.random.default_rng(4)
+    left = ["".join(rng.choice(list("abcd"), rng.integers(1, 260))) for _ in range(120)]
+    right = [x[int(rng.integers(0, 1 + len(x) // 4)) :] + "".join(rng.choice(list("abcd"), rng.integers(0, 60))) for x in left]
+    real = np.array([editing.distance(a, b) for a, b in zip(left, right, strict=True)])
+    for off in (-20, -1, 0, 1, 70, 500):
+        assert (editing.within(left, right, real + off) == (off >= 0)).all()
+
+
 def test_lines_of_rows_that_share_a_key(spark):
     """Rows of one key, or without one, with other texts are documents of their own; equal rows share their lines."""
     a, b, c = "the harbour opened before dawn today", "seventeen crates of mixed tools arrived", "no train ran over the northern bridge"
@@ -376,6 +386,59 @@ def typing(rng, lines_, share):
     return out
 
 
+def test_large_groups_make_links_and_no_rows_of_pairs(spark):
+    """Lines that share a key become pairs only in small groups, so that rows of pairs grow with the lines and not their square."""
+    for size, pairs in ((fuzzylines.LARGE, fuzzylines.LARGE * (fuzzylines.LARGE - 1) // 2), (60, 0)):
+        rows = [(h, 60, *[7] * 4, *[None] * 4) for h in range(1, size + 1)]
+        nodes = spark.createDataFrame(rows, "h long, n long, " + ", ".join(f"{m} long" for m in fuzzylines._MINHASHES))
+        met = fuzzylines._edit_candidates(fuzzylines._edit_keys(nodes.coalesce(1), 1, [0, 1]), 0.8).collect()
+        assert sum(r.h is None for r in met) == pairs
+        assert [len(r.h) // 8 for r in met if r.h is not None] == [size] * (2 if not pairs else 0)
+
+
+def test_lines_of_large_groups_are_joined_as_by_all_pairs():
+    """Groups that overlap, of several tables and of tiny lines: each similar pair of a group is connected, nothing else is."""
+    rng = np.random.default_rng(6)
+    passage = "a passage of some length that many lines have in common "
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(200)]
+    base = [passage + " ".join(rng.choice(vocabulary, rng.integers(3, 18))) for _ in range(60)]
+    told = [*base, *typing(rng, base[:30], 0), *typing(rng, base[20:40], 0.1), *["ab", "abc", "hello", "hallo", "hullo"]]
+    for many in (False, True):
+        sim = rng.integers(0, 1 << 63, len(told)).astype(np.uint64) & np.uint64(0xFFFFFF)  # within FAR bits
+        groups, tables = [], np.zeros((len(told), 3), np.int32)
+        for t in range(3):
+            dealt = rng.integers(0, 3, len(told))
+            for g in range(3):
+                groups.append((t, np.flatnonzero(dealt == g)))
+                tables[groups[-1][1], t] = 3 * t + g + 1
+        tiny = np.arange(len(told) - 5, len(told))
+        groups += [(3, tiny[:3]), (3, tiny[1:]), (3, tiny)]
+        root = np.arange(len(told)) * 5
+        root[1] = root[0]
+        held = {(i, j) for _, own in groups for i in own.tolist() for j in own.tolist() if i < j}
+        near = [(i, j) for i, j in sorted(held) if 5 * plain_distance(told[i], told[j]) <= max(len(told[i]), len(told[j]))]
+        x, y = fuzzylines.joined(told, (sim, np.full(len(told), many)), root, tables, groups, 0.8)
+        assert {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist(), strict=True)} <= set(near)
+        least = []
+        for links in (near, list(zip(x.tolist(), y.tolist(), strict=True))):
+            label = np.arange(len(told))
+            for i, j in [(0, 1), *links]:
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+            least.append(label.tolist())
+        assert least[0] == least[1] and len(near) > 30
+
+
+def test_lines_that_share_a_passage(spark):
+    """More lines than a small group has share a passage; edited copies among them are found and no other line goes."""
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    passage = " ".join(rng.choice(vocabulary, 14))
+    base = [f"{passage} {' '.join(rng.choice(vocabulary, 16))}" for _ in range(40)]
+    rows = [(i, x) for i, x in enumerate([*base, *typing(rng, base[:20], 0)])]
+    got = {r.doc_id: r.n_removed for r in fuzzylines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), distance=None).collect()}
+    assert got == removed_by_similarity(rows, 4) and sum(got.values()) == 20
+
+
 def test_lines_by_edit_similarity_alone(spark):
     rng = np.random.default_rng(8)
     vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
